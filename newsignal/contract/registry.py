@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from newsignal.contract import reports
+from newsignal.contract import ingest, reports, texts
 
-QUERIES = {**reports.QUERIES}
-ORACLES = {**reports.ORACLES}
+_PARTS = (reports, ingest, texts)
+
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
