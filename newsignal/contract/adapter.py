@@ -53,21 +53,30 @@ def confidence_percent() -> Column:
     return F.get_json_object("props", "$.k").cast("int")
 
 
-def all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored_events(events: DataFrame) -> DataFrame:
     """A score for every event, the weak ones included."""
     score = F.greatest(F.least((F.col("value") - 50) / 100, F.lit(1.0)), F.lit(-1.0)).cast(SCORE_TYPE)
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("article_id"),
         score.alias("sentiment_score"),
         (confidence_percent() / 100).cast(SCORE_TYPE).alias("confidence"),
         label_beyond(score, 0.1).alias("sentiment_label"),
         F.lit("combined").alias("processing_method"),
         F.to_date("ts").alias("published_date"),
+        "ts", "user_id",
     )
 
 
+def all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored_events(table(spark, sf_dir, "events")).drop("ts", "user_id")
+
+
+def strong_enough() -> Column:
+    return F.col("confidence") >= LEAST_CONFIDENCE / 100
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_scores(spark, sf_dir).filter(F.col("confidence") >= LEAST_CONFIDENCE / 100)
+    return all_scores(spark, sf_dir).filter(strong_enough())
 
 
 def news(spark: SparkSession, sf_dir: str) -> News:

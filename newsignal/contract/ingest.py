@@ -79,7 +79,7 @@ def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.normalize(ingest.with_required_fields(raw_articles(spark, sf_dir)), AS_OF)
 
 
-def write_payloads(spark: SparkSession, sf_dir: str) -> str:
+def write_payloads(spark: SparkSession, sf_dir: str, files: int | None = None) -> str:
     """The articles as landed payload files: English and French as company calls, German as
     sector calls, Spanish as failed calls (those of src7 cut off in the middle)."""
     lang = F.col("lang")
@@ -111,7 +111,7 @@ def write_payloads(spark: SparkSession, sf_dir: str) -> str:
         F.when(broken, F.substring(line, 1, 20)).otherwise(line).alias("value")
     )
     path = shared_dir(spark, "payloads")
-    lines.write.text(path)
+    (lines.repartition(files) if files else lines).write.text(path)
     return path
 
 
