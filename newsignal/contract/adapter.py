@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from newsignal.functions.labels import label_beyond
 from newsignal.model import SCORE_TYPE, News
+from newsignal.sources.tables import spread
 
 AS_OF = datetime(2024, 1, 31)
 COMPANIES = [f"Customer#{i:09d}" for i in range(4)]
@@ -22,7 +23,8 @@ LEAST_CONFIDENCE = 6
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:

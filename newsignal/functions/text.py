@@ -17,11 +17,12 @@ BLANKS = (
 # What cleaning removes.
 URL_PATTERN = r"https?://[!$-_a-z]+"
 EMAIL_PATTERN = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
-BLANK_RUN = r"[\s\x1c-\x1f\x85\p{Z}]+"
-DROPPED_CHARS = r"[^\p{L}\p{N}_\s.,!?;:-]"
+BLANK = r"\s\x1c-\x1f\x85\p{Z}"
+DROPPED_CHARS = rf"[^\p{{L}}\p{{N}}_{BLANK}.,!?;:-]"
 
 # Words are separated by blanks, , ; : ? ! and by runs of dashes or dots.
-WORD_BREAK = r"(?:[\s,;:?!]|--+|\.\.\.+)+"
+WORD_BREAK = rf"[{BLANK},;:?!]+"
+LONG_BREAK = r"--+|\.\.\.+"
 LETTERS_ONLY = r"^\p{L}+$"
 
 
@@ -34,27 +35,48 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(strip(text), F.lit("")) == ""
 
 
-def clean(text: Column) -> Column:
-    """Without urls, e-mail addresses, repeated blanks and unusual characters.
+def _where(text: Column, marks: Sequence[str], pattern: str, replacement: str) -> Column:
+    """Regex replacement, tried only on texts that hold one of ``marks``."""
+    marked = F.lit(False)
+    for mark in marks:
+        marked = marked | F.contains(text, F.lit(mark))
+    return F.when(marked, F.regexp_replace(text, pattern, replacement)).otherwise(text)
 
-    The address pattern can be slow on long text, so it runs only where there is an ``@``.
-    """
-    no_urls = F.regexp_replace(text, URL_PATTERN, "")
-    no_mail = F.when(F.contains(text, F.lit("@")), F.regexp_replace(no_urls, EMAIL_PATTERN, "")).otherwise(no_urls)
-    squeezed = F.regexp_replace(no_mail, BLANK_RUN, " ")
+
+def without_links(text: Column) -> Column:
+    """Without urls and e-mail addresses."""
+    return _where(_where(text, ("http",), URL_PATTERN, ""), ("@",), EMAIL_PATTERN, "")
+
+
+def clean(text: Column) -> Column:
+    """Without urls, e-mail addresses, repeated blanks and unusual characters."""
+    squeezed = F.regexp_replace(without_links(text), f"[{BLANK}]+", " ")
     return strip(F.regexp_replace(squeezed, DROPPED_CHARS, ""))
 
 
-def words(cleaned: Column) -> Column:
-    """Lower-cased words made of letters only. "growth." counts, "top-line" and "q3" do not."""
-    parts = F.split(F.lower(cleaned), WORD_BREAK)
-    bare = F.transform(parts, lambda w: F.btrim(w, F.lit(".")))
-    return F.filter(bare, lambda w: w.rlike(LETTERS_ONLY))
+def pieces(text: Column) -> Column:
+    """The lower-cased, cleaned text cut at its breaks; dots at the ends of a piece are kept."""
+    kept = F.regexp_replace(without_links(text), DROPPED_CHARS, "")
+    return F.split(F.lower(_where(kept, ("--", "..."), LONG_BREAK, " ")), WORD_BREAK)
+
+
+def bare(piece: Column) -> Column:
+    return F.btrim(piece, F.lit("."))
+
+
+def is_word(bare_piece: Column) -> Column:
+    """Letters only: "growth." counts, "top-line" and "q3" do not."""
+    return bare_piece.rlike(LETTERS_ONLY)
+
+
+def words(text: Column) -> Column:
+    """The words of a text in order."""
+    return F.filter(F.transform(pieces(text), bare), is_word)
 
 
 def count_in(items: Column, wanted: Sequence[str]) -> Column:
-    """How many elements of the array are among ``wanted``."""
-    return F.size(F.filter(items, lambda w: w.isin(*wanted))) if wanted else F.lit(0)
+    """How many pieces are among the words ``wanted``."""
+    return F.size(F.filter(items, lambda p: bare(p).isin(*wanted))) if wanted else F.lit(0)
 
 
 def ngrams(items: Column, sizes: Sequence[int]) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from newsignal.model import News
 
@@ -27,3 +27,13 @@ def from_jdbc(spark: SparkSession, url: str, **options: str) -> News:
         return spark.read.format("jdbc").options(url=url, dbtable=table, **chosen).load()
 
     return News(*map(read, TABLES))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer splits than there are cores, dealt out to all of them.
+
+    For small tables of one file whose texts are costly to process; a scan that has enough splits
+    is returned as it is, so a large table is not shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
