@@ -21,8 +21,7 @@ BLANK = r"\s\x1c-\x1f\x85\p{Z}"
 DROPPED_CHARS = rf"[^\p{{L}}\p{{N}}_{BLANK}.,!?;:-]"
 
 # Words are separated by blanks, , ; : ? ! and by runs of dashes or dots.
-WORD_BREAK = rf"[{BLANK},;:?!]+"
-LONG_BREAK = r"--+|\.\.\.+"
+WORD_BREAK = rf"[{BLANK},;:?!]+|--+|\.\.\.+"
 LETTERS_ONLY = r"^\p{L}+$"
 
 
@@ -35,17 +34,13 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(strip(text), F.lit("")) == ""
 
 
-def _where(text: Column, marks: Sequence[str], pattern: str, replacement: str) -> Column:
-    """Regex replacement, tried only on texts that hold one of ``marks``."""
-    marked = F.lit(False)
-    for mark in marks:
-        marked = marked | F.contains(text, F.lit(mark))
-    return F.when(marked, F.regexp_replace(text, pattern, replacement)).otherwise(text)
-
-
 def without_links(text: Column) -> Column:
-    """Without urls and e-mail addresses."""
-    return _where(_where(text, ("http",), URL_PATTERN, ""), ("@",), EMAIL_PATTERN, "")
+    """Without urls and e-mail addresses.
+
+    The address pattern is slow on long text, so it runs only where there is an ``@``.
+    """
+    no_urls = F.regexp_replace(text, URL_PATTERN, "")
+    return F.when(F.contains(text, F.lit("@")), F.regexp_replace(no_urls, EMAIL_PATTERN, "")).otherwise(no_urls)
 
 
 def clean(text: Column) -> Column:
@@ -57,7 +52,7 @@ def clean(text: Column) -> Column:
 def pieces(text: Column) -> Column:
     """The lower-cased, cleaned text cut at its breaks; dots at the ends of a piece are kept."""
     kept = F.regexp_replace(without_links(text), DROPPED_CHARS, "")
-    return F.split(F.lower(_where(kept, ("--", "..."), LONG_BREAK, " ")), WORD_BREAK)
+    return F.split(F.lower(kept), WORD_BREAK)
 
 
 def bare(piece: Column) -> Column:
@@ -84,7 +79,8 @@ def ngrams(items: Column, sizes: Sequence[int]) -> Column:
 
     The array is zipped with itself shifted, which stays linear in its length.
     """
-    shifted = [items] + [F.slice(items, k + 1, F.greatest(F.size(items), F.lit(1))) for k in range(1, max(sizes))]
+    length = F.greatest(F.size(items), F.lit(1))
+    shifted = [F.slice(items, k + 1, length) for k in range(max(sizes))]
 
     def starting_at(run: Column) -> Column:
         parts = [run.getField(str(k)) for k in range(len(shifted))]

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str | int = 8, name: str = "newsignal") -> SparkSession:
@@ -46,3 +47,16 @@ def durable(spark: SparkSession, df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
     return df.checkpoint()
+
+
+# Rows up to which a side of a join is sent to every executor: some tens of megabytes.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, else left to the optimizer.
+
+    For word lists and the like, whose size the optimizer does not know when they come from the
+    driver. The check reads at most ``rows`` + 1 rows.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
