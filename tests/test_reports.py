@@ -1,0 +1,212 @@
+from datetime import date, datetime, timedelta
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from newsignal.functions.labels import label_beyond, label_from, position_in
+from newsignal.functions.stats import ratio
+from newsignal.operators.ordering import tile, with_global_rank
+from newsignal.plans import procedures, reports
+from tests.conftest import AS_OF
+
+
+def ago(**kw):
+    return AS_OF - timedelta(**kw)
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def test_weekly_report(make_news):
+    news = make_news({"A": "T", "B": "T"}, [
+        ("A", ago(hours=1), "0.5", "0.4"), ("A", ago(hours=2), "-0.5", "0.6"), ("A", ago(hours=3), "0.3", "0.8"),
+        ("A", ago(days=7), "1", "1"),                       # exactly the cut-off: kept
+        ("A", ago(days=7, seconds=1), "-1", "1"),           # the same day, before the cut-off: not
+        ("A", ago(hours=4), None), ("B", ago(hours=1), "-1"),
+    ])
+    today, edge = rows(reports.weekly_company_report(news, "A", as_of=AS_OF))
+    assert (today["company_name"], today["date"], today["article_count"]) == ("A", date(2025, 11, 18), 3)
+    assert today["avg_sentiment"] == pytest.approx(0.1)
+    assert (today["min_sentiment"], today["max_sentiment"]) == (Decimal("-0.5000"), Decimal("0.5000"))
+    assert today["sentiment_volatility"] == pytest.approx(0.432049, abs=1e-6)
+    assert today["avg_confidence"] == pytest.approx(0.6)
+    assert (today["positive_count"], today["negative_count"], today["neutral_count"]) == (2, 1, 0)
+    assert today["sentiment_momentum"] == 0.3333
+    assert (edge["article_count"], edge["sentiment_volatility"]) == (1, 0.0)
+
+
+def test_report_variants_drop_columns(make_news):
+    news = make_news({"A": "T"}, [("A", ago(hours=1), "0.5")])
+    assert "symbol" in reports.company_sentiment_report(news, "A", as_of=AS_OF).columns
+    weekly = reports.weekly_sentiment_report(news, "A", as_of=AS_OF)
+    assert not {"symbol", "sentiment_volatility", "sentiment_momentum"} & set(weekly.columns)
+    assert weekly.count() == 1
+
+
+def test_sector_ranking_shares_ranks_and_fills_quartiles(make_news):
+    entries = [(c, ago(days=1, minutes=i), s, "0.5") for c, s in
+               {"A": "0.8", "B": "0.4", "C": "0.4", "D": "0", "E": "-0.2"}.items() for i in range(5)]
+    news = make_news(dict.fromkeys("ABCDEF", "T"), entries + [("F", ago(days=1), "1")] * 4)
+    result = {r["company_name"]: r for r in rows(reports.sector_ranking(news, "T", as_of=AS_OF))}
+    assert {n: r["sentiment_rank"] for n, r in result.items()} == {"A": 1, "B": 2, "C": 2, "D": 4, "E": 5}
+    tiers = [r["performance_tier"] for r in result.values()]
+    assert sorted(tiers) == ["Bottom Quartile", "Second Quartile", "Third Quartile", "Top Quartile", "Top Quartile"]
+    assert result["A"]["performance_tier"] == "Top Quartile" and result["A"]["weighted_sentiment"] == 0.4
+
+
+def test_global_rank_equals_window(spark):
+    """Ties, a value held by a third of the rows, both ends of the range."""
+    data = [(i, [0.0, 0.0, (i % 37 - 18) / 18.0][i % 3]) for i in range(3000)]
+    df = spark.createDataFrame(data, "id int, v double")
+    ours = {r.id: r for r in with_global_rank(df, "v", "id").collect()}
+    df.createOrReplaceTempView("ranked_input")
+    check = spark.sql("""SELECT id, rank() OVER (ORDER BY v DESC) r,
+        row_number() OVER (ORDER BY v DESC, md5(cast(id AS string)), id) p FROM ranked_input""").collect()
+    assert len(ours) == 3000
+    assert all(ours[c.id]["rank"] == c.r and ours[c.id].position == c.p and ours[c.id].row_total == 3000 for c in check)
+
+
+@pytest.mark.parametrize("total", [1, 3, 4, 5, 10, 11])
+def test_tile_equals_ntile(spark, total):
+    df = spark.range(1, total + 1).withColumn("ours", tile(F.col("id"), F.lit(total), 4))
+    df.createOrReplaceTempView("tiles")
+    assert spark.sql("SELECT ours, ntile(4) OVER (ORDER BY id) n FROM tiles").filter("ours <> n").count() == 0
+
+
+def test_moving_average_counts_rows_not_days(make_news):
+    news = make_news({"A": "T"}, [("A", ago(days=3 * i), f"0.{i}") for i in range(9)])
+    result = rows(reports.sentiment_moving_average(news, "A", as_of=AS_OF))
+    assert [r["daily_sentiment"] for r in result] == pytest.approx([i / 10 for i in range(8, -1, -1)])
+    assert result[-1]["sentiment_7day_ma"] == pytest.approx(0.3)      # seven rows span 19 days
+    assert result[0]["trend_indicator"] == "Below Average"            # equal is not above
+
+
+def test_cross_sector(make_news):
+    news = make_news({"A": "T", "B": "T", "C": "H"}, [
+        *[("A", ago(hours=i), "0.6") for i in range(8)], *[("B", ago(hours=i), "0.2") for i in range(4)],
+        *[("C", ago(hours=i), "-0.2") for i in range(9)], ("gone", ago(hours=1), "1"),
+    ])
+    (t,) = rows(reports.cross_sector_comparison(news, as_of=AS_OF))
+    assert (t["sector"], t["total_companies"], t["total_articles"], t["best_company"]) == ("T", 2, 12, "A")
+    market = (8 * .6 + 4 * .2 - 9 * .2 + 1) / 22                      # the orphan counts for the market
+    assert t["vs_market_sentiment"] == pytest.approx(round(5.6 / 12 - market, 4))
+    assert t["best_company_sentiment"] == pytest.approx(0.6)
+
+
+def test_source_reliability(make_news):
+    news = make_news({"A": "T"}, [("A", ago(hours=1), s, "0.5", "x") for s in ["0.4"] * 10 + ["-0.4"] * 10]
+                     + [("A", ago(hours=1), "0.1", "0.5", "rare")])
+    (x,) = rows(reports.source_reliability(news, as_of=AS_OF))
+    assert x["sentiment_std_dev"] == pytest.approx(0.4) and x["consistency_score"] == pytest.approx(1 / 1.4)
+    assert (x["positive_ratio"], x["neutral_ratio"]) == (0.5, 0.0)
+
+
+def test_pairwise_and_its_levels(make_news, spark):
+    news = make_news({"A": "T", "B": "T"}, [
+        ("A", ago(days=1), "0.5"), ("B", ago(days=1), "0.45"), ("A", ago(days=2), "0.5"), ("B", ago(days=3), "0.5")])
+    (day,) = rows(reports.pairwise_difference(news, "A", "B", as_of=AS_OF))
+    assert day["sentiment_difference"] == pytest.approx(0.05) and day["correlation_level"] == "Highly Correlated"
+    levels = spark.createDataFrame([(0.0999,), (0.1,), (0.2999,), (0.3,)], "g double").select(reports.difference_level(F.col("g")))
+    assert [r[0] for r in levels.collect()] == ["Highly Correlated", "Moderately Correlated", "Moderately Correlated", "Divergent"]
+
+
+def test_momentum(make_news, spark):
+    news = make_news({"A": "T"}, [("A", ago(days=2), "0.1"), ("A", ago(days=1), "0.2"), ("A", ago(days=0), "0.1")])
+    last, before = rows(reports.market_momentum(news, as_of=AS_OF))
+    assert last["momentum_trend"] == "Strong Negative Shift" and before["momentum_trend"] == "Strong Positive Shift"
+    levels = spark.createDataFrame([(0.05,), (0.02,), (-0.02,), (-0.05,), (-0.06,)], "c double").select(
+        reports.momentum_level(F.col("c")))
+    assert [r[0] for r in levels.collect()] == ["Positive Shift", "Stable", "Stable", "Negative Shift", "Strong Negative Shift"]
+
+
+def test_outperformance(make_news):
+    news = make_news({"A": "T", "B": "T"}, [
+        *[("A", ago(hours=i), "0.5") for i in range(3)], *[("B", ago(hours=i), "0.1") for i in range(2)]])
+    (a,) = rows(reports.sector_outperformance(news, as_of=AS_OF))
+    assert (a["outperformance"], a["performance_category"]) == (0.16, "Strong Outperformer")
+
+
+def test_time_patterns(make_news):
+    tuesday = datetime(2025, 11, 18, 9, 5)
+    news = make_news({"A": "T"}, [("A", tuesday, "0.5")] * 5 + [("A", tuesday - timedelta(hours=1), "0")] * 5
+                     + [("A", datetime(2025, 11, 17, 20), "0")] * 5 + [("A", datetime(2025, 11, 16, 16), "0")] * 4)
+    result = [(r["day_of_week"], r["hour_of_day"], r["market_session"])
+              for r in rows(reports.time_patterns(news, as_of=AS_OF))]
+    assert result == [("Monday", 20, "After Hours"), ("Tuesday", 8, "Off Hours"), ("Tuesday", 9, "Market Hours")]
+
+
+def test_portfolio(make_news):
+    news = make_news({"A": "T", "B": "H", "C": "H"}, [
+        ("A", ago(hours=1), "0.6"), ("A", ago(hours=2), "0.2"), ("B", ago(hours=1), "0.1"), ("C", ago(hours=1), "-1")])
+    total, b, a = rows(reports.portfolio_report(news, ["B", "A"], as_of=AS_OF))
+    assert (total["company_name"], b["company_name"], a["company_name"]) == ("PORTFOLIO TOTAL", "B", "A")
+    assert a["risk_adjusted_sentiment"] == round(0.4 / 1.2, 4) and a["portfolio_weight"] == 0.5
+    assert total["avg_sentiment"] == 0.25 and total["article_count"] == 3 and total["portfolio_contribution"] == 0.25
+
+
+@pytest.mark.parametrize("avg,sigma,adjusted", [(0.3344, 0.2575, 0.2660), (0.0930, 0.1882, 0.0783), (0.0751, 0.2105, 0.0620)])
+def test_published_risk_adjusted_figures(avg, sigma, adjusted):
+    assert avg / (1 + sigma) == pytest.approx(adjusted, abs=1e-4)
+
+
+def test_views_count_unscored_articles(make_news):
+    news = make_news({"A": "T", "B": "T"}, [("A", ago(hours=1), "0.5"), ("A", ago(minutes=1), None), ("B", ago(days=8), "1")])
+    (a,) = rows(reports.recent_company_sentiment(news, as_of=AS_OF))
+    assert (a["article_count"], a["avg_sentiment"], a["positive_count"]) == (2, 0.5, 1)
+    assert a["latest_article_date"] == ago(minutes=1)
+    trend = rows(reports.daily_sector_trends(news, as_of=AS_OF))
+    assert [(r["total_articles"], r["sector"]) for r in trend] == [(1, "T"), (1, "T")]
+
+
+def test_sector_reports(make_news):
+    news = make_news({"A": "T", "B": "T", "C": "H"}, [
+        ("A", ago(hours=1), "0.1"), ("B", ago(hours=1), "-0.3"), ("B", ago(hours=2), "-0.1"), ("C", ago(hours=2), "1")])
+    a, b = rows(reports.sector_analysis(news, "T", as_of=AS_OF))
+    assert (a["sentiment_trend"], b["sentiment_trend"]) == ("Neutral", "Negative")   # 0.1 is not above 0.1
+    (t,) = rows(reports.sector_summary(news, "T", as_of=AS_OF))
+    assert (t["total_articles"], t["top_company"], t["sentiment_trend"]) == (3, "A", "Neutral")
+    overview = rows(reports.sector_overview(news))
+    assert [(r["sector"], r["companies"]) for r in overview] == [("H", 1), ("T", 2)]
+    assert [r["name"] for r in rows(reports.top_performers(news, as_of=AS_OF))] == ["C", "A", "B"]
+    trending = rows(reports.trending_companies(news, limit=2, as_of=AS_OF))
+    assert [(r["name"], r["article_count"]) for r in trending] == [("B", 2), ("C", 1)]
+
+
+def test_methods_are_counted_unless_filtered(make_news, spark):
+    news = make_news({"A": "T"}, [("A", ago(hours=1), "0.5")])
+    other = news.scores.withColumn("processing_method", F.lit("other"))
+    both = type(news)(news.companies, news.articles, news.scores.unionByName(other))
+    assert rows(reports.weekly_company_report(both, "A", as_of=AS_OF))[0]["article_count"] == 2
+    assert rows(reports.weekly_company_report(both, "A", as_of=AS_OF, method="other"))[0]["article_count"] == 1
+
+
+def test_collation_is_opt_in(make_news):
+    news = make_news({"Café": "T"}, [("Café", ago(hours=1), "0.5")])
+    assert reports.weekly_company_report(news, "CAFE ", as_of=AS_OF).count() == 0
+    assert reports.weekly_company_report(news.collated(), "CAFE ", as_of=AS_OF).count() == 1
+
+
+def test_sql_surface(make_news, spark):
+    news = make_news({"A": "T"}, [("A", ago(hours=1), "0.5"), ("A", ago(days=20), "0.7")])
+    procedures.register(spark, news)
+    at = {"at": AS_OF}
+    assert spark.sql("SELECT * FROM company_sentiment_report('A', as_of => :at)", args=at).count() == 1
+    assert spark.sql("SELECT * FROM company_sentiment_report('A', 30, :at)", args=at).count() == 2
+    assert spark.sql("SELECT article_count FROM sector_sentiment_analysis('T', as_of => :at)", args=at).first()[0] == 2
+    assert spark.table("v_daily_sentiment_trends").columns[:2] == ["date", "sector"]
+    assert procedures.adhoc(spark, news, "SELECT count(*) FROM articles WHERE id = ?", ["0"]).first()[0] == 1
+    with pytest.raises(ValueError):
+        procedures.adhoc(spark, news, "DROP TABLE articles")
+
+
+def test_label_boundaries_and_helpers(spark):
+    df = spark.createDataFrame([(0.1,), (0.1001,), (-0.1,), (0.05,), (-0.05,), (0.0499,)], "s double")
+    got = df.select(label_beyond(F.col("s"), 0.1).alias("b"), label_from(F.col("s"), 0.05).alias("f")).collect()
+    assert [r.b for r in got] == ["neutral", "positive", "neutral", "neutral", "neutral", "neutral"]
+    assert [r.f for r in got] == ["positive", "positive", "negative", "positive", "negative", "neutral"]
+    assert df.limit(1).select(position_in(F.lit("x"), ["a"]), position_in(F.lit("b"), ["a", "b"])).first()[:] == (0, 2)
+    exact = spark.sql("SELECT cast('1.2345' AS decimal(15,4)) t, 10L n").select(ratio(F.col("t"), F.col("n"), 4)).first()[0]
+    assert exact == 0.1235                                             # 0.12345, half up
+    assert spark.range(1).select(ratio(F.lit(1), F.lit(0))).first()[0] is None
