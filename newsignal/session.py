@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,15 +40,37 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/newsignal/{purpose}-{uuid.uuid4().hex}"
 
 
-def durable(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read from there.
+def durable(spark: SparkSession, df: DataFrame, folder: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read from there.
 
-    Used where one small aggregate feeds several branches, so that the facts below it are
-    scanned once and an executor lost later does not bring them back.
+    Used where one result feeds several branches: what lies below it is computed once, a lost
+    executor does not bring it back, later steps read only the columns they need, and the
+    optimizer knows the size.
     """
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
-    return df.checkpoint()
+    path = f"{folder or shared_dir(spark, 'durable')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """``durable`` for intermediate results of a run, which are deleted at its end."""
+    folder = shared_dir(spark, "run")
+    try:
+        yield lambda df: durable(spark, df, folder)
+    finally:
+        delete(spark, folder)
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop file system and path object of a path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, where = file_system(spark, path)
+    fs.delete(where, True)
 
 
 # Rows up to which a side of a join is sent to every executor: some tens of megabytes.

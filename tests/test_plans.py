@@ -1,0 +1,102 @@
+"""The physical plans that matter at scale."""
+
+import re
+
+import pytest
+
+from newsignal.contract import adapter, ingest as given, texts
+from newsignal.operators import ingest, scoring
+from newsignal.plans import reports
+
+DATA = "/root/testdata/sf0.001"
+AT = adapter.AS_OF
+
+
+def plan(df, extended=False):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def news(spark):
+    return adapter.news(spark, DATA)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def all_reports(news):
+    a, b = adapter.COMPANIES[:2]
+    return {
+        "weekly": reports.weekly_company_report(news, a, as_of=AT),
+        "average": reports.sentiment_moving_average(news, a, as_of=AT),
+        "sectors": reports.cross_sector_comparison(news, as_of=AT),
+        "sources": reports.source_reliability(news, as_of=AT),
+        "pair": reports.pairwise_difference(news, a, b, as_of=AT),
+        "momentum": reports.market_momentum(news, as_of=AT),
+        "lead": reports.sector_outperformance(news, as_of=AT),
+        "times": reports.time_patterns(news, as_of=AT),
+        "portfolio": reports.portfolio_report(news, adapter.COMPANIES, as_of=AT),
+        "recent": reports.recent_company_sentiment(news, as_of=AT),
+        "trends": reports.daily_sector_trends(news, as_of=AT),
+        "summary": reports.sector_summary(news, adapter.SECTOR, as_of=AT),
+        "trending": reports.trending_companies(news, as_of=AT),
+    }
+
+
+def test_time_filter_and_columns_reach_the_scan(news):
+    text = plan(reports.source_reliability(news, as_of=AT))
+    assert "GreaterThanOrEqual(ts,2024-01-01T00:00)" in text
+    assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,event_type:string>" in text
+
+
+def test_no_cross_products_and_no_python(news):
+    for name, df in all_reports(news).items():
+        text = plan(df)
+        assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin|Python", text), name
+
+
+def test_large_tables_join_by_shuffle(news, no_broadcast):
+    """Nothing in a report forces a broadcast, so large companies or facts stay distributed."""
+    for name, df in all_reports(news).items():
+        assert "BroadcastHashJoin" not in plan(df), name
+
+
+def test_facts_are_aggregated_before_companies_join(news, no_broadcast):
+    text = plan(reports.top_performers(news, as_of=AT))
+    company_join = text.index("SortMergeJoin [company_id")
+    assert company_join < text.index("partial_sum") < text.index("SortMergeJoin [article_id")
+
+
+def test_top_k_and_limits_are_cut_before_the_shuffle(spark, news):
+    assert "TakeOrderedAndProject" in plan(reports.trending_companies(news, as_of=AT))
+    for df in (ingest.newest_per_term(adapter.articles(spark, DATA), 10, "company_id", "id"),
+               ingest.dedupe_by_url(given.normalized(spark, DATA))):
+        text = plan(df)
+        final, partial = text.index("Final"), text.index("Partial")
+        assert final < text.index("Exchange hashpartitioning") < partial
+
+
+def test_scoring_shuffles_one_row_per_text(spark):
+    text = plan(scoring.score_texts(texts.documents(spark, DATA), texts.lexicon(spark), lists=texts.LISTS))
+    assert text.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in text
+    assert text.index("Exchange hashpartitioning") < text.index("partial_") < text.index("Generate explode")
+
+
+def test_key_phrases_shuffle_the_texts_once(spark):
+    text = plan(scoring.key_phrases(texts.documents(spark, DATA)))
+    assert text.count("Exchange hashpartitioning") == 1
+    assert text.index("Generate explode") < text.index("Exchange hashpartitioning")
+
+
+def test_outperformance_reads_the_facts_once(spark, news):
+    df = reports.sector_outperformance(news, as_of=AT)
+    df.collect()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert "ReusedExchange" in plan(reports.sector_outperformance(news, as_of=AT))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
