@@ -18,6 +18,7 @@ AS_OF = datetime(2025, 11, 18, 12, 0)
 def spark():
     session = local_session(4, "newsignal-tests")
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     yield session
     session.stop()
 

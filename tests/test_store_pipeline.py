@@ -81,8 +81,11 @@ def test_pipeline_run(spark, land, empty):
     assert again.success and again.articles_processed == 0 and state(empty) == got
     assert empty.news().companies.count() == 10
     assert violations(empty.news()).filter("violations > 0").count() == 0
-    weekly = reports.weekly_company_report(empty.news(), "Apple Inc.", as_of=AS_OF).collect()
-    assert weekly[0].article_count == 2
+    weekly = reports.weekly_company_report(empty.news(), "Apple Inc.", as_of=AS_OF)
+    assert weekly.collect()[0].article_count == 2
+    # The look-back prunes the day folders of both fact tables.
+    plan = weekly._jdf.queryExecution().optimizedPlan().toString() + weekly._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("(published_date") >= 2 and "PartitionFilters: [isnotnull(published_date" in plan
 
 
 def test_an_article_left_without_score_is_scored_later(spark, land, empty):
