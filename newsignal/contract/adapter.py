@@ -7,6 +7,7 @@ that a document lacks are missing fields, the event type decides the form of the
 from __future__ import annotations
 
 from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,11 +59,13 @@ def confidence_percent() -> Column:
 def scored_events(events: DataFrame) -> DataFrame:
     """A score for every event, the weak ones included."""
     score = F.greatest(F.least((F.col("value") - 50) / 100, F.lit(1.0)), F.lit(-1.0)).cast(SCORE_TYPE)
+    hundredths = confidence_percent().cast("decimal(3,0)") * F.lit(Decimal("0.01"))
     return events.select(
-        F.col("event_id").alias("article_id"),
-        score.alias("sentiment_score"),
-        (confidence_percent() / 100).cast(SCORE_TYPE).alias("confidence"),
-        label_beyond(score, 0.1).alias("sentiment_label"),
+        F.col("event_id").alias("article_id"), score.alias("sentiment_score"),
+        hundredths.cast(SCORE_TYPE).alias("confidence"), "ts", "user_id",
+    ).select(
+        "article_id", "sentiment_score", "confidence",
+        label_beyond(F.col("sentiment_score"), 0.1).alias("sentiment_label"),
         F.lit("combined").alias("processing_method"),
         F.to_date("ts").alias("published_date"),
         "ts", "user_id",
@@ -70,7 +73,7 @@ def scored_events(events: DataFrame) -> DataFrame:
 
 
 def all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored_events(table(spark, sf_dir, "events")).drop("ts", "user_id")
+    return scored_events(spread(table(spark, sf_dir, "events"))).drop("ts", "user_id")
 
 
 def strong_enough() -> Column:
