@@ -254,11 +254,13 @@ def sector_outperformance(
 ) -> DataFrame:
     """Companies against the average of their sector.
 
-    Both branches share the shuffle of the company sums; the sector side is one row per sector.
+    Both branches ask for the same company sums (count, scores, total), so they share one shuffle
+    of them and the facts are read once. The sector side is one row per sector.
     """
     parts = per_company(news, _since(news, as_of, days))
     sectors = (
         rolled_up(with_company(parts, news.companies), "sector")
+        .filter(F.col("n") > 0)
         .select("sector", average().alias("sector_avg_sentiment"))
     )
     lead = F.col("company_sentiment") - F.col("sector_avg_sentiment")

@@ -29,10 +29,10 @@ def local_session(cores: str | int = 8, name: str = "newsignal") -> SparkSession
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder that every executor can reach.
 
-    The root is the cluster's ``spark.checkpoint.dir``. A machine-local folder is used only
-    in local mode, where the setting is normally absent.
+    The root is the cluster's ``spark.checkpoint.dir``, or the checkpoint folder set on the
+    context. A machine-local folder is used only in local mode, where both are normally absent.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")

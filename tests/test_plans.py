@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 AT = adapter.AS_OF
 
 
-def plan(df, extended=False):
+def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
@@ -92,11 +92,12 @@ def test_key_phrases_shuffle_the_texts_once(spark):
     assert text.index("Generate explode") < text.index("Exchange hashpartitioning")
 
 
-def test_outperformance_reads_the_facts_once(spark, news):
-    df = reports.sector_outperformance(news, as_of=AT)
-    df.collect()
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+def test_facts_are_read_once(spark, news, no_broadcast):
+    """One scan for articles and one for scores, also where a report has two branches."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")       # shows reuse before execution
     try:
-        assert "ReusedExchange" in plan(reports.sector_outperformance(news, as_of=AT))
+        for name, df in all_reports(news).items():
+            tree = plan(df)
+            assert tree.count("events.parquet") == 2, name
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
