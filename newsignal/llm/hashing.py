@@ -7,6 +7,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: All of ASCII but letters and digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: Lower case of A to Z, for bytes.translate.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -41,18 +43,18 @@ def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
-def word_spans(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edges = np.flatnonzero(np.diff(SPACES[buffer], prepend=True, append=True))
+def word_spans(buffer: np.ndarray, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
+    edges = np.flatnonzero(np.diff(separators[buffer], prepend=True, append=True))
     return edges[::2], edges[1::2]
 
 
 class TextWords:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of several texts: hash of each word, text it is from."""
+    """The words of several texts: hash of each word, text it is from. By default ``[^\\x20\\x09-\\x0D]+``."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], separators: np.ndarray = SPACES):
         self.buffer = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
         lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-        self.starts, self.ends = word_spans(self.buffer)
+        self.starts, self.ends = word_spans(self.buffer, separators)
         self.text = np.searchsorted(np.cumsum(lengths), self.starts, side="right")
         self.hashes = span_hashes(self.buffer, self.starts, self.ends)
         #: Words of text i are those from bounds[i] to bounds[i + 1].
