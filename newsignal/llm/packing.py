@@ -20,6 +20,7 @@ gives an empty result.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ SALTS = 64
 SWEEPS = 60
 END_ID = 2
 #: Words whose ids a worker keeps.
-MOST_WORDS = 400_000
+MOST_WORDS = 1_000_000
 
 
 class WordIds(dict):
@@ -57,7 +58,14 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MOST_WORDS:
             self.clear()
-        ids = self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        plain = word.lower() if word.isascii() and "<" not in word else word
+        if plain != word:  # the tokenizer puts all in lower case
+            ids = self[plain]
+        elif word[-1:] in (".", ",") and word[-2:-1].isalpha():  # and parts letters from what follows
+            ids = self[word[:-1]] + self[word[-1]]
+        else:
+            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        self[word] = ids
         return ids
 
     def of(self, text: str) -> bytes:
