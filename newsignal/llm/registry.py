@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsignal.llm import jaccard, langid, neighbours, packing, quality, tokencount, toxicity
+from newsignal.llm import chat, jaccard, langid, neighbours, packing, quality, tokencount, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(spark, _table(spark, sf_dir, "pages"))
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(_table(spark, sf_dir, "conversations"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -41,6 +49,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_nearest_neighbours, op4_toxicity, op8_token_counts, op9_packing,
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_nearest_neighbours, op4_toxicity, op5_warc,
+    op6_chat_formatting, op8_token_counts, op9_packing,
     op10_jaccard_join)}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_chat_formatting": chat.RENDER_SQL}
