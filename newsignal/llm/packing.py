@@ -61,7 +61,7 @@ class WordIds(dict):
         plain = word.lower() if word.isascii() and "<" not in word else word
         if plain != word:  # the tokenizer puts all in lower case
             ids = self[plain]
-        elif word[-1:] in (".", ",") and word[-2:-1].isalpha():  # and parts letters from what follows
+        elif word[-1:] in (".", ",") and word[-2:-1].lower().isalpha():  # and parts letters from what follows
             ids = self[word[:-1]] + self[word[-1]]
         else:
             ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
@@ -92,14 +92,15 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
         _words[tokenizer] = words
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                counts, sums = [], []
-                for text in part.column("text"):
-                    ids = words.of(text.as_py() or "") + end
+                counts, sums, places = [], array("q"), [0]
+                for text in part.column("text").to_pylist():
+                    ids = words.of(text or "") + end
                     counts.append(len(ids) // 4)
-                    sums.append(prefix_sums(ids))
-                yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(sums, pa.list_(pa.int64())),
-                ], ["doc_id", "doc_tokens", "sums"])
+                    sums.extend(prefix_sums(ids))
+                    places.append(len(sums))
+                lists = pa.ListArray.from_arrays(np.array(places, np.int32), np.frombuffer(sums, np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(counts, pa.int64()), lists], ["doc_id", "doc_tokens", "sums"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, doc_tokens bigint, sums array<bigint>")
