@@ -181,8 +181,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     return Model(languages, idf, weights.astype(np.float32), temperature)
 
 
-def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` with lang_pred and score of every row."""
+def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",),
+            into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns ``keep`` of every row with its language and score, named ``into``."""
     def languages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
@@ -196,11 +197,11 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
                     names[first + i], scores[first + i] = model.languages[int(p.argmax())], float(min(p.max(), 1.0))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                [*keep, "lang_pred", "score"])
+                [*keep, *into])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     source = docs.select(*keep, *(["text"] if "text" not in keep else []))
-    return source.mapInArrow(languages, f"{kinds}, lang_pred string, score double")
+    return source.mapInArrow(languages, f"{kinds}, `{into[0]}` string, `{into[1]}` double")
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

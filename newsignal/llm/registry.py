@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,5 +56,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_nearest_neighbours, op4_toxicity, op5_warc,
     op6_chat_formatting, op7_sentencepiece, op8_token_counts, op9_packing,
-    op10_jaccard_join)}
+    op10_jaccard_join)} | {"pipeline": corpus_pipeline.run}
 ORACLES = {"op6_chat_formatting": chat.RENDER_SQL}
