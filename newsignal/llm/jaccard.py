@@ -29,7 +29,6 @@ from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -209,18 +208,83 @@ def region_pairs(sizes: np.ndarray, cells: np.ndarray, groups: np.ndarray) -> np
     return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
 
 
-def _join_region(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs (a, b) of a region's block that are to be verified, unless an earlier common region has them."""
-    rows = rows.sort_values("own", ignore_index=True)
-    cells = np.stack([np.frombuffer(c, "<u2") for c in rows["cells"]]).astype(np.int32)
-    pairs = region_pairs(rows["n"].to_numpy(), cells, rows["root"].to_numpy())
-    shingle, heads, own = rows["shingle"].iloc[0], [list(h) for h in rows["head"]], rows["own"].to_numpy()
-    kept = []
-    for a, b in pairs:
-        shared = next((s for s in heads[a] if s in heads[b]), shingle)
-        if shared == shingle:
-            kept.append((own[a], own[b]))
-    return pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
+class Rows:
+    """Rows of regions, region after region."""
+
+    def __init__(self, batch: pa.Table):
+        number = lambda c: batch.column(c).combine_chunks().fill_null(0).to_numpy(zero_copy_only=False)
+        self.region = np.stack([number(c) for c in ("shingle", "p", "q")], axis=1)
+        self.own, self.root, self.n = number("own"), number("root"), number("n")
+        self.heads = np.stack([number(f"h{k}") for k in range(STARS)], axis=1)
+        self.cells = np.frombuffer(b"".join(batch.column("cells").to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int32)
+
+    def possible(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs are of different components and left in reach by sizes and cells."""
+        good = self.root[i] != self.root[j]
+        low, high = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
+        good &= 100 * low >= SHARE * high
+        at = np.flatnonzero(good)
+        apart = np.abs(self.cells[i[at]] - self.cells[j[at]]).sum(axis=1)
+        good[at] = (100 + SHARE) * apart <= (100 - SHARE) * (self.n[i[at]] + self.n[j[at]])
+        return good
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        edges = np.flatnonzero((self.region[1:] != self.region[:-1]).any(axis=1)) + 1
+        bounds = np.concatenate([[0], edges, [len(self.own)]])
+        sizes = np.diff(bounds)
+        end = np.repeat(bounds[1:], sizes)
+        left, right = [], []
+        rows = np.flatnonzero(np.repeat(sizes <= LEAF, sizes))
+        for step in range(1, LEAF):  # small regions side by side: each row with the one `step` rows on
+            rows = rows[rows + step < end[rows]]
+            if not len(rows):
+                break
+            near = rows[self.possible(rows, rows + step)]
+            left.append(near)
+            right.append(near + step)
+        for group in np.flatnonzero(sizes > LEAF):
+            part = slice(bounds[group], bounds[group + 1])
+            found = region_pairs(self.n[part], self.cells[part], self.root[part]) + bounds[group]
+            left.append(found[:, 0])
+            right.append(found[:, 1])
+        if not left:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        i, j = np.concatenate(left), np.concatenate(right)
+        return self._own(i, j)
+
+    def _own(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaves out pairs that an earlier common region among their first ones has."""
+        same = ((self.heads[i][:, :, None] == self.heads[j][:, None, :]) & (self.heads[i] != 0)[:, :, None]).any(axis=2)
+        first = self.heads[i][np.arange(len(i)), same.argmax(axis=1)]
+        here = ~same.any(axis=1) | (first == self.region[i, 0])
+        return self.own[i[here]], self.own[j[here]]
+
+
+def _join_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) to be verified, from rows sorted by region. A region's rows are held until its last one is there."""
+    held: list[pa.RecordBatch] = []
+
+    def joined(part: pa.Table) -> pa.RecordBatch:
+        a, b = Rows(part).pairs()
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("shingle", "p", "q")], axis=1)
+        other = np.flatnonzero((key != key[-1]).any(axis=1))
+        cut = int(other[-1]) + 1 if len(other) else 0  # where the last region starts
+        if held:
+            before = [held[-1].column(c)[held[-1].num_rows - 1].as_py() for c in ("shingle", "p", "q")]
+            if not cut and before != key[-1].tolist():
+                yield joined(pa.Table.from_batches(held))
+                held = []
+        if cut:
+            yield joined(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield joined(pa.Table.from_batches(held))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, keep: Callable) -> DataFrame:
@@ -301,9 +365,11 @@ def _window_pairs(classes: DataFrame, roots: DataFrame, keep: Callable) -> DataF
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(
         F.least(F.col("block"), other).alias("p"), F.greatest(F.col("block"), other).alias("q")))
     placed = keep(spread.join(mixed, "shingle").withColumn("block", block).select("own", "shingle", F.explode(met).alias("pair")))
-    details = known.select("own", "root", "n", "cells", F.slice("prefix", 1, STARS).alias("head"))
-    rows = placed.join(details, "own")
-    return rows.groupBy("shingle", "pair").applyInPandas(_join_region, "a bigint, b bigint").distinct()
+    heads = [F.get("prefix", k).alias(f"h{k}") for k in range(STARS)]
+    details = known.select("own", "root", "n", "cells", *heads)
+    key = ["shingle", "p", "q"]
+    rows = placed.select("own", "shingle", "pair.*").join(details, "own").repartition(*key).sortWithinPartitions(*key, "own")
+    return rows.mapInArrow(_join_regions, "a bigint, b bigint").distinct()
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
