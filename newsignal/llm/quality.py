@@ -139,7 +139,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, le
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     numbered = base_columns(docs).withColumn("row", F.monotonically_increasing_id())
     placed = numbered.select("row", *names, "tokens", F.explode_outer(_positions(F.col("tokens"))).alias("p"))
-    weight = F.get(weights, _cell("tokens", "p", buckets))
+    weight = F.when(F.col("p").isNotNull(), F.get(weights, _cell("tokens", "p", buckets)))
     summed = placed.groupBy("row").agg(
         *(F.first(n).alias(n) for n in names), F.coalesce(F.sum(weight), F.lit(0)).alias("total"))
     n_grams = F.greatest(2 * F.col("n_words") - 1, F.lit(1))
