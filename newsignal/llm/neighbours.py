@@ -55,7 +55,7 @@ class Forest:
     def __init__(self, dimension: int, longest: float, seed: int = 3):
         random = np.random.default_rng(seed)
         self.planes = random.standard_normal((dimension + 1, TREES * DEPTH))
-        self.longest = longest
+        self.longest, self.slice = longest, SLICE
         self.before = np.zeros((TREES, (1 << DEPTH) + 1), np.int64)
 
     def _strings(self, vectors: np.ndarray, extra: np.ndarray) -> np.ndarray:
@@ -73,7 +73,7 @@ class Forest:
     def slices_of(self, tree: int, string: int, vec_id: int) -> int:
         """The slice of a candidate; the entries of one string may fill several."""
         first, size = self.before[tree, string], self.before[tree, string + 1] - self.before[tree, string]
-        return int(first // SLICE + (vec_id * 0x9E3779B1 >> 7) % max(-(-size // SLICE), 1))
+        return int(first // self.slice + (vec_id * 0x9E3779B1 >> 7) % max(-(-size // self.slice), 1))
 
     def ranges(self, strings: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray]:
         """First and end position in each tree of the entries to be met by each query."""
@@ -131,7 +131,7 @@ def _met(queries: DataFrame, forest: Forest, enough: int) -> DataFrame:
                 continue
             low, high = forest.ranges(forest.query_strings(_matrix(batch.column("vector"))), enough)
             places = [
-                [{"tree": t, "slice": s} for t in range(TREES) if b[t] > a[t] for s in range(int(a[t] // SLICE), int((b[t] - 1) // SLICE) + 1)]
+                [{"tree": t, "slice": s} for t in range(TREES) if b[t] > a[t] for s in range(int(a[t] // forest.slice), int((b[t] - 1) // forest.slice) + 1)]
                 for a, b in zip(low, high)
             ]
             kind = pa.list_(pa.struct([("tree", pa.int32()), ("slice", pa.int64())]))

@@ -23,12 +23,12 @@ import base64
 import gzip
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timezone
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
@@ -68,7 +68,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     body = http + payload if refers_to is None else http
     lines = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {target}')}>",
-        f"WARC-Date: {when}", "WARC-Target-URI: " + "".join(target.split("\r")).replace("\n", "%0A"),
+        f"WARC-Date: {when}", f"WARC-Target-URI: {_escaped(target)}",
         f"WARC-Payload-Digest: sha1:{payload_digest(payload)}", f"WARC-Page-ID: {'' if page_id is None else page_id}",
     ]
     if refers_to is not None:
@@ -95,11 +95,16 @@ def parse_record(raw: bytes) -> dict:
     }
 
 
+def _escaped(url: str) -> str:
+    """White space and control characters as percent codes: a url is one word of one line."""
+    return re.sub(r"[\s\x00-\x1f\x7f]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url)
+
+
 def sort_key(url: str) -> str:
     """Host reversed, then the path: the order of an index."""
-    parts = urlsplit(url) if "//" in url else None
-    host = ",".join(reversed((parts.hostname or "").split("."))) if parts else ""
-    return f"{host}){parts.path or '/'}{'?' + parts.query if parts.query else ''}" if host else url
+    scheme, mark, rest = _escaped(url).partition("://")
+    host, slash, path = rest.partition("/")
+    return f"{','.join(reversed(host.lower().split('.')))}){slash or '/'}{path}" if mark and host else _escaped(url)
 
 
 class PackageWriter:
@@ -115,7 +120,7 @@ class PackageWriter:
         self.data.write(raw)
         entry |= {"offset": self.at, "length": len(raw), "filename": DATA}
         stamp = "".join(c for c in self.when if c.isdigit())
-        self.lines.append(f"{sort_key(entry['url'])} {stamp} {json.dumps(entry)}".replace("\n", "%0A"))
+        self.lines.append(f"{sort_key(entry['url'])} {stamp} {json.dumps(entry)}")
         self.at += len(raw)
 
     def close(self) -> None:
@@ -138,9 +143,9 @@ class PackageReader:
         """Number of entries, size and place of the central directory."""
         tail_at = max(0, self.size - END_SIZE - FULL16)
         tail = self.read(tail_at, self.size - tail_at)
-        at = tail.rfind(END)
+        at = tail.rfind(END, 0, len(tail) - END_SIZE + len(END))
         while at >= 0 and at + END_SIZE + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
-            at = tail.rfind(END, 0, at)
+            at = tail.rfind(END, 0, at + len(END) - 1)
         if at < 0:
             raise ValueError("no ZIP file: the end of the central directory is missing")
         entries, length, place = struct.unpack_from("<HII", tail, at + 10)
