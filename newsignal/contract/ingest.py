@@ -146,7 +146,7 @@ def _search(s: SparkSession, d: str) -> DataFrame:
 
 
 def _analysis_text(s: SparkSession, d: str) -> DataFrame:
-    text = analysis_text(F.col("title"), F.col("description"), F.col("content"))
+    text = analysis_text(F.col("title"), F.col("description"), F.col("content"), 2000)
     return raw_articles(s, d).select(
         "doc_id", F.length(text).cast("bigint").alias("length"), F.md5(text).alias("text_md5")
     )

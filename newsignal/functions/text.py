@@ -15,6 +15,7 @@ BLANKS = (
 )
 
 # What cleaning removes.
+# The range from $ to _ holds all signs that a url may have, so single ones need not be named.
 URL_PATTERN = r"https?://[!$-_a-z]+"
 EMAIL_PATTERN = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 BLANK = r"\s\x1c-\x1f\x85\p{Z}"
@@ -89,11 +90,11 @@ def ngrams(items: Column, sizes: Sequence[int]) -> Column:
     return F.array_compact(F.flatten(F.transform(F.arrays_zip(*shifted), starting_at)))
 
 
-def analysis_text(title: Column, description: Column, content: Column, max_content: int | None = 2000) -> Column:
+def analysis_text(title: Column, description: Column, content: Column, max_content: int | None = None) -> Column:
     """Title twice, description, content; missing parts leave no blank.
 
-    Content longer than ``max_content`` is cut and marked with three dots, as the scores of
-    existing tables were made that way; None scores the whole content.
+    The whole content counts. With ``max_content``, longer content is cut and marked with three dots, for
+    comparison with scores that were made that way.
     """
     body = content
     if max_content is not None:

@@ -11,14 +11,14 @@ SLOTS = 65_536
 def with_global_rank(df: DataFrame, value: str, tie: str, low: float = -1.0, high: float = 1.0) -> DataFrame:
     """Adds ``rank`` (ties share it), ``position`` (1..n) and ``row_total``, by ``value`` descending.
 
-    ``value`` is a double within [low, high]. Equal values are put in the order of md5(tie), tie.
+    ``value`` is a double within [low, high]; NULL ranks last. Equal values are put in the order of md5(tie), tie.
 
     ``rank() over (order by …)`` would move every row to one task. Here the rows are counted per
     cell (slot of the value range, value, first two digits of the tie digest); only the slot
     totals, at most SLOTS + 1 rows, are summed up in one task. A value shared by a third of the
     rows falls into 256 cells.
     """
-    slot = F.floor((F.lit(high) - F.col(value)) / (high - low) * SLOTS)
+    slot = F.coalesce(F.floor((F.lit(high) - F.col(value)) / (high - low) * SLOTS), F.lit(SLOTS + 1))
     digest = F.md5(F.col(tie).cast("string"))
     rows = df.withColumns({"_slot": slot, "_digest": digest, "_part": F.substring(digest, 1, 2)})
 
@@ -33,8 +33,8 @@ def with_global_rank(df: DataFrame, value: str, tie: str, low: float = -1.0, hig
             F.sum("_slot_n").over(everything).alias("row_total"),
         )
     )
-    by_value = Window.partitionBy("_slot").orderBy(F.desc(value))
-    by_cell = Window.partitionBy("_slot").orderBy(F.desc(value), "_part")
+    by_value = Window.partitionBy("_slot").orderBy(F.desc_nulls_last(value))
+    by_cell = Window.partitionBy("_slot").orderBy(F.desc_nulls_last(value), "_part")
     same_value = Window.partitionBy("_slot", value)
     offsets = cells.select(
         "_slot", value, "_part",
@@ -43,11 +43,12 @@ def with_global_rank(df: DataFrame, value: str, tie: str, low: float = -1.0, hig
     )
     within = Window.partitionBy("_slot", value, "_part").orderBy("_digest", tie)
     return (
-        rows.join(offsets, ["_slot", value, "_part"])
+        rows.withColumn("_key", F.coalesce(value, F.lit(high + 1)))
+        .join(offsets.withColumn("_key", F.coalesce(value, F.lit(high + 1))).drop(value), ["_slot", "_key", "_part"])
         .join(slots, "_slot")
         .withColumn("rank", F.col("_before_slot") + F.col("_above") + 1)
         .withColumn("position", F.col("_before_slot") + F.col("_before_cell") + F.row_number().over(within))
-        .drop("_slot", "_digest", "_part", "_above", "_before_cell", "_before_slot")
+        .drop("_slot", "_key", "_digest", "_part", "_above", "_before_cell", "_before_slot")
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 from newsignal.model import News
@@ -10,6 +11,9 @@ from newsignal.plans import reports
 _AVERAGE = "try_divide(cast(sum(s.sentiment_score) AS double), count(s.sentiment_score))"
 _CONFIDENCE = "try_divide(cast(sum(s.confidence) AS double), count(s.confidence))"
 
+# The day of the earliest moment; both facts are partitioned by day, so the scans of both are cut.
+_FIRST_DAY = "to_date({name}.as_of - make_dt_interval({name}.days))"
+
 _COMPANY_REPORT = f"""
 CREATE OR REPLACE TEMPORARY FUNCTION company_sentiment_report(
     company STRING, days INT DEFAULT 7, as_of TIMESTAMP DEFAULT current_timestamp())
@@ -24,6 +28,8 @@ FROM companies c JOIN articles a ON c.id = a.company_id JOIN sentiment_scores s
 WHERE c.name = company_sentiment_report.company
   AND a.published_at >= cast(company_sentiment_report.as_of AS {{moment}})
       - make_dt_interval(company_sentiment_report.days)
+  AND a.published_date >= {_FIRST_DAY.format(name="company_sentiment_report")}
+  AND s.published_date >= {_FIRST_DAY.format(name="company_sentiment_report")}
 GROUP BY c.name, c.sector, c.symbol, to_date(a.published_at)
 ORDER BY to_date(a.published_at) DESC
 """
@@ -40,6 +46,8 @@ FROM companies c JOIN articles a ON c.id = a.company_id JOIN sentiment_scores s
 WHERE c.sector = sector_sentiment_analysis.sector
   AND a.published_at >= cast(sector_sentiment_analysis.as_of AS {{moment}})
       - make_dt_interval(sector_sentiment_analysis.days)
+  AND a.published_date >= {_FIRST_DAY.format(name="sector_sentiment_analysis")}
+  AND s.published_date >= {_FIRST_DAY.format(name="sector_sentiment_analysis")}
 GROUP BY c.id, c.name
 HAVING count(a.id) >= 1
 ORDER BY {_AVERAGE} DESC
@@ -66,8 +74,14 @@ def register(spark: SparkSession, news: News) -> SparkSession:
 
 
 def adhoc(spark: SparkSession, news: News, query: str, params: dict | list | None = None) -> DataFrame:
-    """A read-only query over the three tables with named (dict) or positional (list) parameters."""
-    if query.lstrip().split(None, 1)[0].upper() not in ("SELECT", "WITH"):
-        raise ValueError("ad-hoc queries are read-only; use the store operators to change tables")
+    """A read-only query over the three tables with named (dict) or positional (list) parameters.
+
+    The text must be a query as a whole: it is tried as a subquery, which no statement that changes something can
+    be, and only planned at that. Then the text itself runs, so one that only fits a pair of parentheses fails.
+    """
     register_tables(spark, news)
+    try:
+        spark.sql(f"EXPLAIN SELECT * FROM (\n{query}\n)", args=params)
+    except ParseException as error:
+        raise ValueError("ad-hoc queries are read-only; use the store operators to change tables") from error
     return spark.sql(query, args=params)

@@ -21,7 +21,6 @@ from newsignal.plans.facts import (
     average, average_confidence, partials, per_company, rolled_up, scored, volatility,
     weighted_average, with_company,
 )
-from newsignal.session import durable
 
 AsOf = datetime | Column | None
 
@@ -91,7 +90,7 @@ def sector_ranking(
             weighted_average().alias("weight"),
         )
     )
-    ranked = with_global_rank(durable(companies.sparkSession, stats), "weight", "company_id")
+    ranked = with_global_rank(stats, "weight", "company_id")
     quartile = tile(F.col("position"), F.col("row_total"), 4)
     return (
         with_company(ranked, companies)

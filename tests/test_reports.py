@@ -2,6 +2,7 @@ from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import pytest
+from pyspark.errors import ParseException
 from pyspark.sql import functions as F
 
 from newsignal.functions.labels import label_beyond, label_from, position_in
@@ -57,8 +58,8 @@ def test_sector_ranking_shares_ranks_and_fills_quartiles(make_news):
 
 
 def test_global_rank_equals_window(spark):
-    """Ties, a value held by a third of the rows, both ends of the range."""
-    data = [(i, [0.0, 0.0, (i % 37 - 18) / 18.0][i % 3]) for i in range(3000)]
+    """Ties, a value held by a third of the rows, both ends of the range, rows without a value."""
+    data = [(i, None if i % 50 == 7 else [0.0, 0.0, (i % 37 - 18) / 18.0][i % 3]) for i in range(3000)]
     df = spark.createDataFrame(data, "id int, v double")
     ours = {r.id: r for r in with_global_rank(df, "v", "id").collect()}
     df.createOrReplaceTempView("ranked_input")
@@ -199,6 +200,13 @@ def test_sql_surface(make_news, spark):
     assert procedures.adhoc(spark, news, "SELECT count(*) FROM articles WHERE id = ?", ["0"]).first()[0] == 1
     with pytest.raises(ValueError):
         procedures.adhoc(spark, news, "DROP TABLE articles")
+    for query in ("WITH t AS (SELECT 1) INSERT INTO articles SELECT * FROM t", "INSERT INTO articles SELECT * FROM articles", "",
+                  "-- only a note", "SELECT 1; DROP TABLE articles"):
+        with pytest.raises(ValueError):
+            procedures.adhoc(spark, news, query)
+    with pytest.raises(ParseException):
+        procedures.adhoc(spark, news, "SELECT 1) UNION ALL (SELECT 2")
+    assert procedures.adhoc(spark, news, "-- a note\n(SELECT 1 AS one)").first()[0] == 1
 
 
 def test_label_boundaries_and_helpers(spark):

@@ -36,9 +36,9 @@ def test_strip_and_analysis_text(spark):
     assert column(spark, ["　 a "], strip) == ["a"]
     long = "A" * 3000
     df = spark.createDataFrame([("t", "d", long), ("t", "", None), ("", None, "c")], "t string, d string, c string")
-    got = [r[0] for r in df.select(analysis_text(F.col("t"), F.col("d"), F.col("c"))).collect()]
+    got = [r[0] for r in df.select(analysis_text(F.col("t"), F.col("d"), F.col("c"), 2000)).collect()]
     assert got == ["t t d " + "A" * 2000 + "...", "t t", "c"]
-    whole = df.limit(1).select(analysis_text(F.col("t"), F.col("d"), F.col("c"), None)).first()[0]
+    whole = df.limit(1).select(analysis_text(F.col("t"), F.col("d"), F.col("c"))).first()[0]
     assert whole == "t t d " + long
 
 
