@@ -145,6 +145,19 @@ def _search(s: SparkSession, d: str) -> DataFrame:
     return ingest.search(corpus, ingest.company_terms(tracked(s, d)), CONTEXT).select("doc_id", "term")
 
 
+def _sectors(s: SparkSession, d: str) -> DataFrame:
+    """Sectors named by words that occur in the documents."""
+    word = F.split("text", r"\s+")
+    return table(s, d, "benchmark").select(F.get(word, F.lit(4)).alias("sector"))
+
+
+def _feed(s: SparkSession, d: str, terms: DataFrame, any_of: tuple[str, ...]) -> DataFrame:
+    dated = table(s, d, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").alias("published_at"))
+    corpus = table(s, d, "documents").select("doc_id", "text", F.col("lang").alias("language")).join(dated, "doc_id")
+    found = ingest.corpus_feed(corpus, terms, any_of, 168, LOOKBACK_AT, tie="doc_id")
+    return plain(found.select("doc_id", "term", "published_at"))
+
+
 def _analysis_text(s: SparkSession, d: str) -> DataFrame:
     text = analysis_text(F.col("title"), F.col("description"), F.col("content"), 2000)
     return raw_articles(s, d).select(
@@ -154,6 +167,8 @@ def _analysis_text(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "search_terms": _search,
+    "company_search": lambda s, d: _feed(s, d, ingest.company_terms(tracked(s, d)), CONTEXT),
+    "sector_search": lambda s, d: _feed(s, d, ingest.sector_terms(_sectors(s, d)), CONTEXT[:2]),
     "language_filter": lambda s, d: ingest.in_language(table(s, d, "documents"), "en", "lang").select("doc_id", "lang"),
     "lookback_filter": lambda s, d: plain(
         ingest.within_lookback(articles(s, d), 168, LOOKBACK_AT).select("id", "published_at")),
@@ -221,7 +236,18 @@ _FIRST = "row_number() OVER (PARTITION BY url ORDER BY fetched_at, company_searc
 _FEED = """company_search_term, ordinal, title, url, source, author, md5(content) AS content,
        coalesce(description, '-') AS description"""
 
+_FEED_SQL = """
+SELECT doc_id, term, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS published_at FROM (
+  SELECT doc_id, term, ts, row_number() OVER (PARTITION BY term ORDER BY ts DESC NULLS LAST, doc_id) AS rn
+  FROM documents JOIN events ON event_id = doc_id JOIN terms ON contains(lower(text), term)
+  WHERE lang = 'en' AND ts >= date_trunc('day', timestamp '2024-01-30 15:30:00' - INTERVAL 168 HOUR) AND ({context}))
+WHERE rn <= 10"""
+
 ORACLES = {
+    "company_search": f"WITH {RAW}, terms AS (SELECT DISTINCT string_split_regex(name, '\\s+')[1] AS term FROM tracked)"
+    + _FEED_SQL.format(context=_ANY),
+    "sector_search": "WITH terms AS (SELECT DISTINCT lower(string_split_regex(text, '\\s+')[5]) AS term FROM benchmark)"
+    + _FEED_SQL.format(context=" OR ".join(f"contains(lower(text), '{w}')" for w in CONTEXT[:2])),
     "search_terms": f"""WITH {RAW}, terms AS (SELECT DISTINCT string_split_regex(name, '\\s+')[1] AS term FROM tracked)
 SELECT doc_id, term FROM documents JOIN terms ON contains(lower(text), term) WHERE {_ANY}""",
     "language_filter": "SELECT doc_id, lang FROM documents WHERE lang = 'en'",

@@ -60,6 +60,19 @@ def newest_per_term(
     return articles.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= limit).drop("_rn")
 
 
+def corpus_feed(
+    corpus: DataFrame, terms: DataFrame, any_of: Sequence[str], hours: int = 24, as_of: datetime | Column | None = None,
+    language: str = "en", limit: int = 10, tie: str = "url",
+) -> DataFrame:
+    """One feed request for every term: the term and a context word, one language, the look-back, the newest few.
+
+    ``corpus``: text, language, published_at and what else is wanted. The cheap filters come before the search, so dates and
+    language reach the scan.
+    """
+    recent = within_lookback(in_language(corpus, language), hours, as_of)
+    return newest_per_term(search(recent, terms, any_of), limit, tie=tie)
+
+
 def with_required_fields(raw: DataFrame) -> DataFrame:
     """Articles with title, date and url. Blanks pass, as they are trimmed only later."""
     keep = F.lit(True)
