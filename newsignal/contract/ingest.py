@@ -18,6 +18,8 @@ from newsignal.sources import feeds
 # Words of the documents in three languages that stand for "stock", "market", "business".
 CONTEXT = ("that", "elle", "nicht")
 LOOKBACK_AT = datetime(2024, 1, 30, 15, 30)
+# The documents' events are early in the month.
+FEED_HOURS = 684
 
 
 def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +156,7 @@ def _sectors(s: SparkSession, d: str) -> DataFrame:
 def _feed(s: SparkSession, d: str, terms: DataFrame, any_of: tuple[str, ...]) -> DataFrame:
     dated = table(s, d, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").alias("published_at"))
     corpus = table(s, d, "documents").select("doc_id", "text", F.col("lang").alias("language")).join(dated, "doc_id")
-    found = ingest.corpus_feed(corpus, terms, any_of, 168, LOOKBACK_AT, tie="doc_id")
+    found = ingest.corpus_feed(corpus, terms, any_of, FEED_HOURS, LOOKBACK_AT, tie="doc_id")
     return plain(found.select("doc_id", "term", "published_at"))
 
 
@@ -240,7 +242,7 @@ _FEED_SQL = """
 SELECT doc_id, term, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS published_at FROM (
   SELECT doc_id, term, ts, row_number() OVER (PARTITION BY term ORDER BY ts DESC NULLS LAST, doc_id) AS rn
   FROM documents JOIN events ON event_id = doc_id JOIN terms ON contains(lower(text), term)
-  WHERE lang = 'en' AND ts >= date_trunc('day', timestamp '2024-01-30 15:30:00' - INTERVAL 168 HOUR) AND ({context}))
+  WHERE lang = 'en' AND ts >= date_trunc('day', timestamp '2024-01-30 15:30:00' - INTERVAL 684 HOUR) AND ({context}))
 WHERE rn <= 10"""
 
 ORACLES = {
