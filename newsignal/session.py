@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def local_session(cores: str | int = 8, name: str = "newsignal") -> SparkSession:
-    """Session for tests and the bench; on a cluster the caller brings their own."""
+def local_session(cores: str | int = 8, name: str = "newsignal", shared: str | None = None) -> SparkSession:
+    """Session for tests and the bench; on a cluster the caller brings their own. ``shared`` becomes
+    ``spark.checkpoint.dir``, so that the caller can delete what intermediate results leave there."""
+    builder = SparkSession.builder.config("spark.checkpoint.dir", shared) if shared else SparkSession.builder
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

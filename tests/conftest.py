@@ -15,8 +15,8 @@ AS_OF = datetime(2025, 11, 18, 12, 0)
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(4, "newsignal-tests")
+def spark(tmp_path_factory):
+    session = local_session(4, "newsignal-tests", str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     session.conf.set("spark.sql.shuffle.partitions", "2")
     yield session

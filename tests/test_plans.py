@@ -101,3 +101,22 @@ def test_facts_are_read_once(spark, news, no_broadcast):
             assert tree.count("events.parquet") == 2, name
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_sql_functions_prune_both_facts(spark, news, tmp_path):
+    from newsignal.model import News
+    from newsignal.plans import procedures
+
+    for name in ("articles", "scores"):
+        getattr(news, name).write.partitionBy("published_date").parquet(f"{tmp_path}/{name}")
+    stored = News(news.companies, *(spark.read.parquet(f"{tmp_path}/{name}") for name in ("articles", "scores")))
+    procedures.register(spark, stored)
+    for call in ("company_sentiment_report('x', 7, :at)", "sector_sentiment_analysis('x', 7, :at)"):
+        found = plan(spark.sql(f"SELECT * FROM {call}", args={"at": AT}))
+        filters = re.findall(r"PartitionFilters: \[(.*?)\]", found)
+        assert sum("published_date" in f and ">=" in f for f in filters) == 2
+
+
+def test_rows_without_a_word_are_spread(spark, no_broadcast):
+    df = scoring.score_methods(texts.documents(spark, DATA), texts.lexicon(spark).hint("merge"), lists=texts.LISTS)
+    assert df.count() > 0
