@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsignal.llm.batches import small_batches
 from newsignal.llm.hashing import LOWER, TextWords, in_chunks, mix
 from newsignal.session import durable
 
@@ -374,6 +375,7 @@ def _window_pairs(classes: DataFrame, roots: DataFrame, keep: Callable) -> DataF
 
 def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
+    small_batches(spark)
     keep = partial(durable, spark)
     docs = docs.select("doc_id", "text")
     counted = keep(with_counts(docs))

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsignal.llm.batches import small_batches
+
 LONGEST = 3
 CELL_BITS = 14
 CELLS = 1 << CELL_BITS
@@ -161,6 +163,7 @@ def sample_features(rows: DataFrame, sample: int = SAMPLE) -> list[tuple[str, np
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Learns from the documents that are not held out; None without any."""
+    small_batches(docs.sparkSession)
     rows = training_rows(docs)
     found = sample_features(rows, sample)
     if not found:
