@@ -1,12 +1,13 @@
-"""N-gram Jaccard join: documents whose word-shingle sets overlap by ``SHARE`` percent, joined exactly in metric regions.
+"""N-gram Jaccard join: documents whose sets of ``words``-word shingles overlap by ``share`` percent, joined exactly in
+metric regions. ``WORDS`` and ``SHARE`` are the values of the op10 query; callers may give others.
 
 Sets are compared by two distances, both metrics: the Jaccard distance, and the number of elements in which two sets
 differ. For unrelated documents every Jaccard distance to a document is 1, so documents are no use as pivots. The pivots are:
 
 * **single shingles**: a set's distance to the shingles it holds is the same, so ties are put in one global order (shingles
   found in many sets last, then by hash), and the Voronoi region of a set is that of its first shingle. A set within reach
-  misses at most a tenth of the elements, so by the triangle inequality a window over the first tenth of the order (plus
-  one) holds a common shingle: a set is replicated to the regions in that window. No pair is lost.
+  misses at most 100 - ``share`` percent of the elements, so by the triangle inequality a window over that part of the order
+  (plus one) holds a common shingle: a set is replicated to the regions in that window. No pair is lost.
 * **cells** of the shingle space: the distance of a set to a cell is given by how many of its shingles lie there. The
   differences to all cells together bound the number of differing elements from below, for any two sets.
 
@@ -18,8 +19,8 @@ what is linked is contracted to components. Then all windows are joined, but onl
 groups of near copies are linked star by star, not pair by pair; regions beyond ``BLOCK`` rows are split into blocks. Links
 and components stay in tables; the driver sees bitmaps of a fixed size only.
 
-Defined cases: null text, or text without words, has an empty set and is linked with nothing; one or two words are one
-shingle; repeated rows are in one component; a null id never is the smallest of a component that has another; an empty
+Defined cases: null text, or text without words, has an empty set and is linked with nothing; fewer words than ``words`` are
+one shingle; repeated rows are in one component; a null id never is the smallest of a component that has another; an empty
 table gives an empty result. Shingles and sets are told apart by 64-bit hashes.
 """
 
@@ -47,17 +48,21 @@ BITS = 1 << 23
 BLOCK = 1_024
 LEAF = 128
 
-_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_ODD = [np.uint64(x) for x in (
+    0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
 
-def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[bytes], words: int = WORDS) -> Iterator[np.ndarray]:
     """Sorted distinct shingles of each text."""
-    words = TextWords([t.translate(LOWER) for t in texts])
-    h = words.hashes
-    rolled = mix(h[: max(len(h) - 2, 0)] * _ODD[0] + h[1 : max(len(h) - 1, 1)] * _ODD[1] + h[2:] * _ODD[2])
-    for a, b in zip(words.bounds, words.bounds[1:]):
-        if b - a >= WORDS:
-            yield np.unique(rolled[a : b - WORDS + 1])
+    found = TextWords([t.translate(LOWER) for t in texts])
+    h = found.hashes
+    rolled = np.zeros(max(len(h) - words + 1, 0), np.uint64)
+    for k in range(words):
+        rolled += h[k : k + len(rolled)] * _ODD[k]
+    rolled = mix(rolled)
+    for a, b in zip(found.bounds, found.bounds[1:]):
+        if b - a >= words:
+            yield np.unique(rolled[a : b - words + 1])
         elif b > a:
             yield mix((h[a:b] * _ODD[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a))
         else:
@@ -71,8 +76,8 @@ def class_id(found: np.ndarray) -> int | None:
     return int(mix(total).view(np.int64)[0])
 
 
-def window_size(n: int) -> int:
-    return n * (100 - SHARE) // 100 + 1
+def window_size(n: int, share: int = SHARE) -> int:
+    return n * (100 - share) // 100 + 1
 
 
 def cell_counts(found: np.ndarray) -> bytes:
@@ -99,7 +104,7 @@ class Bitmap:
         return (self.words[place >> 5] >> (place & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
 
 
-def _map_sets(docs: DataFrame, schema: str, row: Callable, columns: tuple[str, ...] = ()) -> DataFrame:
+def _map_sets(docs: DataFrame, schema: str, row: Callable, words: int, columns: tuple[str, ...] = ()) -> DataFrame:
     """``row(set, class, first in this task)`` for every document; rows that are None are left out."""
     kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in columns)
     names = [*columns, *(part.split()[0] for part in schema.split(", "))]
@@ -110,7 +115,7 @@ def _map_sets(docs: DataFrame, schema: str, row: Callable, columns: tuple[str, .
             place = 0
             for chunk in in_chunks((t.as_py() or "").encode() for t in batch.column("text")):
                 rows, made = [], []
-                for i, found in enumerate(shingle_sets(chunk), place):
+                for i, found in enumerate(shingle_sets(chunk, words), place):
                     own = class_id(found)
                     new = row(found, own, own not in seen)
                     if own is not None:
@@ -140,43 +145,43 @@ def _signed(values: np.ndarray) -> list[int]:
     return values.view(np.int64).tolist()
 
 
-def with_counts(docs: DataFrame) -> DataFrame:
+def with_counts(docs: DataFrame, words: int, share: int) -> DataFrame:
     """doc_id, own (class), n (set size), low: the first shingles by hash, somewhat more than the window."""
     def row(found, own, first):
-        low = found[: window_size(len(found)) * 3 // 2 + 8] if first else found[:0]
+        low = found[: window_size(len(found), share) * 3 // 2 + 8] if first else found[:0]
         return own, len(found), _signed(low)
 
-    return _map_sets(docs, _COUNTS, row, ("doc_id",))
+    return _map_sets(docs, _COUNTS, row, words, ("doc_id",))
 
 
-def with_windows(docs: DataFrame, common: Bitmap) -> DataFrame:
+def with_windows(docs: DataFrame, common: Bitmap, words: int, share: int) -> DataFrame:
     """own, n, cells, prefix: the window of each set in the global order."""
     def row(found, own, first):
         if own is None or not first:
             return None
         last = common.has(found)
         order = np.concatenate([found[~last], found[last]])
-        return own, len(found), cell_counts(found), _signed(order[: window_size(len(found))])
+        return own, len(found), cell_counts(found), _signed(order[: window_size(len(found), share)])
 
-    return _map_sets(docs, _CLASSES, row).dropDuplicates(["own"])
+    return _map_sets(docs, _CLASSES, row, words).dropDuplicates(["own"])
 
 
-def with_sets(docs: DataFrame, wanted: Bitmap) -> DataFrame:
+def with_sets(docs: DataFrame, wanted: Bitmap, words: int) -> DataFrame:
     """own and the whole set as bytes, of the wanted classes."""
     def row(found, own, first):
         return (own, found.astype("<u8").tobytes()) if first and own is not None and own in wanted else None
 
-    return _map_sets(docs, _SETS, row).dropDuplicates(["own"])
+    return _map_sets(docs, _SETS, row, words).dropDuplicates(["own"])
 
 
-def in_reach(sizes: np.ndarray, cells: np.ndarray, size: int, own: np.ndarray) -> np.ndarray:
+def in_reach(sizes: np.ndarray, cells: np.ndarray, size: int, own: np.ndarray, share: int = SHARE) -> np.ndarray:
     """Sets that the cell distances leave within reach of one set. Two sets in reach differ in at most
-    (100 - SHARE) / (100 + SHARE) of the sum of their sizes."""
+    (100 - share) / (100 + share) of the sum of their sizes."""
     apart = np.abs(cells - own).sum(axis=1)
-    return (100 + SHARE) * apart <= (100 - SHARE) * (sizes + size)
+    return (100 + share) * apart <= (100 - share) * (sizes + size)
 
 
-def region_pairs(sizes: np.ndarray, cells: np.ndarray, groups: np.ndarray) -> np.ndarray:
+def region_pairs(sizes: np.ndarray, cells: np.ndarray, groups: np.ndarray, share: int = SHARE) -> np.ndarray:
     """Pairs of rows of different groups that the bounds leave in reach, by recursive Voronoi cells.
 
     Two pivots split the rows; a row goes to the nearer pivot, and to the other one too if its distances to both
@@ -188,7 +193,7 @@ def region_pairs(sizes: np.ndarray, cells: np.ndarray, groups: np.ndarray) -> np
         if (groups[rows] == groups[rows[0]]).all():
             return
         if len(rows) > LEAF:
-            reach = (100 - SHARE) * 2 * sizes[rows].max() / (100 + SHARE)
+            reach = (100 - share) * 2 * sizes[rows].max() / (100 + share)
             one = np.abs(cells[rows] - cells[rows[0]]).sum(axis=1)
             far = int(one.argmax())
             two = np.abs(cells[rows] - cells[rows[far]]).sum(axis=1)
@@ -200,7 +205,7 @@ def region_pairs(sizes: np.ndarray, cells: np.ndarray, groups: np.ndarray) -> np
         for place, i in enumerate(rows[:-1]):
             others = rows[place + 1 :]
             others = others[groups[others] != groups[i]]
-            near = others[in_reach(sizes[others], cells[others], sizes[i], cells[i])]
+            near = others[in_reach(sizes[others], cells[others], sizes[i], cells[i], share)]
             if len(near):
                 found.append(np.stack([np.full(len(near), i), near], axis=1))
 
@@ -212,7 +217,8 @@ def region_pairs(sizes: np.ndarray, cells: np.ndarray, groups: np.ndarray) -> np
 class Rows:
     """Rows of regions, region after region."""
 
-    def __init__(self, batch: pa.Table):
+    def __init__(self, batch: pa.Table, share: int):
+        self.share = share
         number = lambda c: batch.column(c).combine_chunks().fill_null(0).to_numpy(zero_copy_only=False)
         self.region = np.stack([number(c) for c in ("shingle", "p", "q")], axis=1)
         self.own, self.root, self.n = number("own"), number("root"), number("n")
@@ -223,10 +229,10 @@ class Rows:
         """Which pairs are of different components and left in reach by sizes and cells."""
         good = self.root[i] != self.root[j]
         low, high = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
-        good &= 100 * low >= SHARE * high
+        good &= 100 * low >= self.share * high
         at = np.flatnonzero(good)
         apart = np.abs(self.cells[i[at]] - self.cells[j[at]]).sum(axis=1)
-        good[at] = (100 + SHARE) * apart <= (100 - SHARE) * (self.n[i[at]] + self.n[j[at]])
+        good[at] = (100 + self.share) * apart <= (100 - self.share) * (self.n[i[at]] + self.n[j[at]])
         return good
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
@@ -245,7 +251,7 @@ class Rows:
             right.append(near + step)
         for group in np.flatnonzero(sizes > LEAF):
             part = slice(bounds[group], bounds[group + 1])
-            found = region_pairs(self.n[part], self.cells[part], self.root[part]) + bounds[group]
+            found = region_pairs(self.n[part], self.cells[part], self.root[part], self.share) + bounds[group]
             left.append(found[:, 0])
             right.append(found[:, 1])
         if not left:
@@ -261,12 +267,12 @@ class Rows:
         return self.own[i[here]], self.own[j[here]]
 
 
-def _join_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _join_regions(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) to be verified, from rows sorted by region. A region's rows are held until its last one is there."""
     held: list[pa.RecordBatch] = []
 
     def joined(part: pa.Table) -> pa.RecordBatch:
-        a, b = Rows(part).pairs()
+        a, b = Rows(part, share).pairs()
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     for batch in batches:
@@ -288,7 +294,7 @@ def _join_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield joined(pa.Table.from_batches(held))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, keep: Callable) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, keep: Callable, words: int, share: int) -> DataFrame:
     """Pairs whose whole sets link."""
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,11 +302,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, keep: Callable) -> DataFrame:
             for x, y in zip(batch.column("items_a"), batch.column("items_b")):
                 x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= SHARE * (len(x) + len(y) - both))
+                good.append(100 * both >= share * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     ends = pairs.select(F.col("a").alias("own")).union(pairs.select("b"))
-    sets = keep(with_sets(docs, Bitmap(ends, "own")))
+    sets = keep(with_sets(docs, Bitmap(ends, "own"), words))
     of = lambda end: sets.select(F.col("own").alias(end), F.col("items").alias(f"items_{end}"))
     return keep(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(linked, "a bigint, b bigint"))
 
@@ -336,7 +342,7 @@ def _rooted(classes: DataFrame, roots: DataFrame) -> DataFrame:
     return classes.join(roots, "own", "left").withColumn("root", F.coalesce("root", "own"))
 
 
-def _star_pairs(classes: DataFrame) -> DataFrame:
+def _star_pairs(classes: DataFrame, share: int) -> DataFrame:
     """Each class with one class of each of its first regions, where the cell distances allow a link."""
     heads = classes.select("own", F.explode(F.slice("prefix", 1, STARS)).alias("shingle"))
     pivots = heads.groupBy("shingle").agg(F.min("own").alias("b"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
@@ -349,13 +355,13 @@ def _star_pairs(classes: DataFrame) -> DataFrame:
                 continue
             cells = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int32) for c in ("cells_a", "cells_b")]
             sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            good = (100 + SHARE) * np.abs(cells[0] - cells[1]).sum(axis=1) <= (100 - SHARE) * sizes
+            good = (100 + share) * np.abs(cells[0] - cells[1]).sum(axis=1) <= (100 - share) * sizes
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
     return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(possible, "a bigint, b bigint")
 
 
-def _window_pairs(classes: DataFrame, roots: DataFrame, keep: Callable) -> DataFrame:
+def _window_pairs(classes: DataFrame, roots: DataFrame, keep: Callable, share: int) -> DataFrame:
     """Pairs of classes of different components that share a region of their windows and may be in reach."""
     known = _rooted(classes, roots)
     spread = known.select("own", "root", F.explode("prefix").alias("shingle"))
@@ -370,22 +376,24 @@ def _window_pairs(classes: DataFrame, roots: DataFrame, keep: Callable) -> DataF
     details = known.select("own", "root", "n", "cells", *heads)
     key = ["shingle", "p", "q"]
     rows = placed.select("own", "shingle", "pair.*").join(details, "own").repartition(*key).sortWithinPartitions(*key, "own")
-    return rows.mapInArrow(_join_regions, "a bigint, b bigint").distinct()
+    return rows.mapInArrow(partial(_join_regions, share=share), "a bigint, b bigint").distinct()
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
+    if not 1 <= words <= len(_ODD) or not 1 <= share <= 100:
+        raise ValueError(f"words must be 1 to {len(_ODD)}, share 1 to 100")
     small_batches(spark)
     keep = partial(durable, spark)
     docs = docs.select("doc_id", "text")
-    counted = keep(with_counts(docs))
+    counted = keep(with_counts(docs, words, share))
     often = counted.select(F.explode("low").alias("shingle")).groupBy("shingle").count().filter(F.col("count") > COMMON)
-    classes = keep(with_windows(docs, Bitmap(often, "shingle")))
-    stars = keep(_star_pairs(classes))
-    links = _verified(docs, stars, keep)
+    classes = keep(with_windows(docs, Bitmap(often, "shingle"), words, share))
+    stars = keep(_star_pairs(classes, share))
+    links = _verified(docs, stars, keep, words, share)
     roots = components(links, keep)
-    rest = keep(_window_pairs(classes, roots, keep))
-    more = _verified(docs, rest, keep)
+    rest = keep(_window_pairs(classes, roots, keep, share))
+    more = _verified(docs, rest, keep, words, share)
     roots = components(roots.select(F.col("own").alias("a"), F.col("root").alias("b")).union(more), keep)
     slim = counted.select("doc_id", "own", F.col("n").alias("n_shingles"))
     least = slim.filter("own is not null").groupBy("own").agg(F.min("doc_id").alias("least"))

@@ -162,3 +162,27 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path, prose):
     clean, bad = {i for i, _, t in labels if not t}, {i for i, _, t in labels if t}
     assert not {2_000, 2_001, 2_002} & found
     assert len(clean & found) > 0.95 * len(clean) and len(bad & found) < 0.05 * len(bad)
+
+
+def test_the_near_copy_stage_follows_its_own_rule(spark, docs, prose):
+    rows = [(100 * s + k, t) for s in range(6) for k, t in enumerate(near_copies(prose, 200 + s, 12, 100 + 30 * s, 5))]
+    grams = {i: set(zip(*(t.split()[k:] for k in range(5)))) for i, t in rows}
+    threes = {i: set(zip(*(t.split()[k:] for k in range(3)))) for i, t in rows}
+    alike = lambda sets, a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    least = {i: i for i, _ in rows}
+    for _ in rows:  # until the smallest id has gone through every chain
+        least = {i: min(least[j] for j in grams if alike(grams, i, j) >= 0.8) for i in grams}
+    assert any(0.8 <= alike(grams, a, b) < 0.9 and alike(threes, a, b) < 0.9 for a in grams for b in grams)
+    found = [r.doc_id for r in corpus_pipeline.near_copies(spark, docs(rows), "").collect()]
+    assert sorted(found) == sorted(set(least.values()))
+
+
+@pytest.mark.parametrize("words, share", [(1, 50), (5, 80), (2, 100)])
+def test_components_by_other_rules(spark, docs, prose, words, share):
+    texts = [t for s in range(2) for t in near_copies(prose, 300 + s, 15, 60, 8)] + ["a b c d", "A b c d", "a b c", "", None]
+    sets = [set(zip(*(w[k:] for k in range(words)))) or ({tuple(w)} if w else set()) for w in ((t or "").lower().split() for t in texts)]
+    least = list(range(len(texts)))
+    for _ in texts:
+        least = [min([least[i], *(least[j] for j, b in enumerate(sets) if a and 100 * len(a & b) >= share * len(a | b))]) for i, a in enumerate(sets)]
+    found = jaccard.jaccard_components(spark, docs(list(enumerate(texts))), words, share).collect()
+    assert sorted(tuple(r) for r in found) == [(i, len(a), least[i]) for i, a in enumerate(sets)]
