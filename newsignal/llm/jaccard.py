@@ -31,7 +31,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsignal.llm.batches import small_batches
@@ -145,13 +145,13 @@ def _signed(values: np.ndarray) -> list[int]:
     return values.view(np.int64).tolist()
 
 
-def with_counts(docs: DataFrame, words: int, share: int) -> DataFrame:
-    """doc_id, own (class), n (set size), low: the first shingles by hash, somewhat more than the window."""
+def with_counts(docs: DataFrame, words: int, share: int, columns: tuple[str, ...]) -> DataFrame:
+    """columns, own (class), n (set size), low: the first shingles by hash, somewhat more than the window."""
     def row(found, own, first):
         low = found[: window_size(len(found), share) * 3 // 2 + 8] if first else found[:0]
         return own, len(found), _signed(low)
 
-    return _map_sets(docs, _COUNTS, row, words, ("doc_id",))
+    return _map_sets(docs, _COUNTS, row, words, columns)
 
 
 def with_windows(docs: DataFrame, common: Bitmap, words: int, share: int) -> DataFrame:
@@ -379,14 +379,16 @@ def _window_pairs(classes: DataFrame, roots: DataFrame, keep: Callable, share: i
     return rows.mapInArrow(partial(_join_regions, share=share), "a bigint, b bigint").distinct()
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def smallest_of_components(spark: SparkSession, docs: DataFrame, columns: tuple[str, ...], order: Column,
+                           words: int = WORDS, share: int = SHARE) -> DataFrame:
+    """columns, n_shingles, smallest of every row: the smallest value of ``order``, made of ``columns``, among the rows
+    of its component; null for a row without words."""
     if not 1 <= words <= len(_ODD) or not 1 <= share <= 100:
         raise ValueError(f"words must be 1 to {len(_ODD)}, share 1 to 100")
     small_batches(spark)
     keep = partial(durable, spark)
-    docs = docs.select("doc_id", "text")
-    counted = keep(with_counts(docs, words, share))
+    docs = docs.select(*columns, "text")
+    counted = keep(with_counts(docs, words, share, columns))
     often = counted.select(F.explode("low").alias("shingle")).groupBy("shingle").count().filter(F.col("count") > COMMON)
     classes = keep(with_windows(docs, Bitmap(often, "shingle"), words, share))
     stars = keep(_star_pairs(classes, share))
@@ -395,10 +397,15 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     rest = keep(_window_pairs(classes, roots, keep, share))
     more = _verified(docs, rest, keep, words, share)
     roots = components(roots.select(F.col("own").alias("a"), F.col("root").alias("b")).union(more), keep)
-    slim = counted.select("doc_id", "own", F.col("n").alias("n_shingles"))
-    least = slim.filter("own is not null").groupBy("own").agg(F.min("doc_id").alias("least"))
+    slim = counted.select(*columns, "own", F.col("n").alias("n_shingles"))
+    least = slim.filter("own is not null").groupBy("own").agg(F.min(order).alias("least"))
     of_root = _rooted(least, roots)
-    smallest = of_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = keep(of_root.join(smallest, "root").select("own", "component_id"))
-    return slim.join(named, "own", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    smallest = of_root.groupBy("root").agg(F.min("least").alias("smallest"))
+    named = keep(of_root.join(smallest, "root").select("own", "smallest"))
+    return slim.join(named, "own", "left").select(*columns, "n_shingles", "smallest")
+
+
+def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    found = smallest_of_components(spark, docs, ("doc_id",), F.col("doc_id"), words, share)
+    return found.select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"))

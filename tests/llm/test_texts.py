@@ -186,3 +186,13 @@ def test_components_by_other_rules(spark, docs, prose, words, share):
         least = [min([least[i], *(least[j] for j, b in enumerate(sets) if a and 100 * len(a & b) >= share * len(a | b))]) for i, a in enumerate(sets)]
     found = jaccard.jaccard_components(spark, docs(list(enumerate(texts))), words, share).collect()
     assert sorted(tuple(r) for r in found) == [(i, len(a), least[i]) for i, a in enumerate(sets)]
+
+
+def test_near_copies_go_by_row(spark, docs, prose):
+    a, b, c, d, e, f = (prose(400 + k, 80) for k in range(6))
+    stay = [(1, a), (1, b), (3, c), (None, d), (4, ""), (4, ""), (None, None), (None, None), (5, f)]
+    go = [(2, a), (3, b), (None, d), (None, a + " more"), (5, f), (5, f)]
+    found = corpus_pipeline.near_copies(spark, docs([*stay, *go, (None, e), (None, e + " more")]), "").collect()
+    either = [(r.doc_id, r.text) for r in found if r.text in (e, e + " more")]
+    assert len(either) == 1
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in found))) == sorted(map(repr, stay + either))
