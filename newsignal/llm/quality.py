@@ -28,8 +28,6 @@ WINDOW = 5
 #: The method's parameters.
 BUCKETS = 1 << 16
 LEAST_SCORE = -0.12
-#: Trusted documents that are counted at most: those first in the order of a hash of their ids.
-TRUSTED_ROWS = 40_000
 #: Added to both counts of a cell, at the scale of the trusted corpus.
 PSEUDO_COUNT = 2.0
 UNIT = 1_000_000
@@ -101,19 +99,15 @@ def _cell(tokens: str, position: str, buckets: int) -> Column:
     return F.pmod(key, F.lit(buckets)).cast("int")
 
 
-def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """Ids of documents labelled as good, at most ``rows`` of them."""
-    ids = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all documents labelled as good, once each."""
+    return labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
 def cell_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row with one array: the log-ratio of every cell in millionths, counted over all documents.
-
-    ``trusted`` must be bounded (see ``trusted_ids``); it is sent to every task.
-    """
+    """One row with one array: the log-ratio of every cell in millionths, counted over all documents; ``trusted`` has an id once."""
     spark = docs.sparkSession
-    marked = docs.join(F.broadcast(trusted.withColumn("trusted", F.lit(1))), "doc_id", "left")
+    marked = docs.join(trusted.withColumn("trusted", F.lit(1)), "doc_id", "left")
     tokens = marked.select("trusted", words(F.col("text")).alias("tokens"))
     placed = tokens.select("trusted", "tokens", F.explode(_positions(F.col("tokens"))).alias("p"))
     cells = placed.select("trusted", _cell("tokens", "p", buckets).alias("cell"))
@@ -131,11 +125,10 @@ def cell_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
     ).alias("weights"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, least_score: float = LEAST_SCORE,
-                  trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, least_score: float = LEAST_SCORE) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score."""
     docs = docs.select("doc_id", "text")
-    weights = cell_weights(docs, trusted_ids(labels, trusted_rows), buckets).scalar()
+    weights = cell_weights(docs, trusted_ids(labels), buckets).scalar()
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     numbered = base_columns(docs).withColumn("row", F.monotonically_increasing_id())
     placed = numbered.select("row", *names, "tokens", F.explode_outer(_positions(F.col("tokens"))).alias("p"))

@@ -4,6 +4,7 @@ from collections import Counter
 
 import xxhash
 from newsignal.llm import quality
+from pyspark.sql import functions as F
 
 EDGES = [
     (1, None), (2, ""), (3, " \n\t "), (4, "a"), (5, "one two three four five six seven eight nine ten"), (5, "one two three four five six seven eight nine ten"),
@@ -57,3 +58,11 @@ def test_no_python_in_the_plan_and_empty_tables(spark, docs):
     df = quality.quality_rules(docs([]), labels(spark, []))
     assert df.collect() == []
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
+
+
+def test_every_trusted_document_counts(spark):
+    docs = spark.range(40_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 97).alias("text"))
+    good = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert quality.trusted_ids(good.union(good)).count() == 40_500
+    scores = quality.quality_rules(docs, good).agg(F.min("score"), F.max("score"), F.count("score")).collect()[0]
+    assert tuple(scores) == (0, 0, 40_500)  # all are trusted, so both corpora are the same
