@@ -137,12 +137,14 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def sample_features(rows: DataFrame, sample: int = SAMPLE) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(lang, cells, counts) of at most ``sample`` rows: first one of each language, then a second of each, …"""
+    """(lang, cells, counts) of at most ``sample`` ids: first one of each language, then a second of each, … An id that
+    repeats counts once, with its smallest language and text."""
     order = Window.partitionBy("lang").orderBy("key", "doc_id")
-    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("key")).withColumn("rank", F.row_number().over(order))
+    ids = rows.groupBy("doc_id").agg(F.min("lang").alias("lang")).withColumn("key", F.xxhash64("doc_id"))
+    ids = ids.withColumn("rank", F.row_number().over(order))
     # No language has more than `sample` rows here, so each input task passes on a bounded number.
     chosen = ids.filter(F.col("rank") <= sample).orderBy("rank", "key", "doc_id").limit(sample)
-    chosen = F.broadcast(chosen.select("doc_id").distinct())
+    chosen = F.broadcast(chosen.select("doc_id"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,10 +157,11 @@ def sample_features(rows: DataFrame, sample: int = SAMPLE) -> list[tuple[str, np
                     pa.array([counts[cells].astype("<u4").tobytes()], pa.binary()),
                 ], ["key", "lang", "cells", "counts"])
 
-    picked = rows.join(chosen, "doc_id", "left_semi").select(F.xxhash64("doc_id").alias("key"), "lang", "text")
+    picked = rows.join(chosen, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("row"))
+    picked = picked.select(F.xxhash64("doc_id").alias("key"), "row.*")
     found = picked.mapInArrow(features, "key bigint, lang string, cells binary, counts binary").collect()
     found.sort(key=lambda r: (r.key, r.lang, bytes(r.cells), bytes(r.counts)))
-    return [(r.lang, np.frombuffer(r.cells, "<u2"), np.frombuffer(r.counts, "<u4")) for r in found[: 2 * sample]]
+    return [(r.lang, np.frombuffer(r.cells, "<u2"), np.frombuffer(r.counts, "<u4")) for r in found]
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:

@@ -196,3 +196,17 @@ def test_near_copies_go_by_row(spark, docs, prose):
     either = [(r.doc_id, r.text) for r in found if r.text in (e, e + " more")]
     assert len(either) == 1
     assert sorted(map(repr, ((r.doc_id, r.text) for r in found))) == sorted(map(repr, stay + either))
+
+
+def test_a_repeated_id_is_sampled_once(spark, docs, prose):
+    table = docs(multilingual(prose))
+    rows = langid.training_rows(table)
+    first = rows.orderBy(F.xxhash64("doc_id")).limit(1).collect()[0]
+    many = [(first.doc_id, prose(500 + k, 20, LETTERS[first.lang]), first.lang) for k in range(60)]
+    more = table.select("doc_id", "text", "lang").union(docs(many).select("doc_id", "text", "lang"))
+    plain, repeated = (langid.sample_features(langid.training_rows(t), 12) for t in (table, more))
+    assert [lang for lang, _, _ in repeated] == [lang for lang, _, _ in plain] and len(repeated) == 12
+    assert sum((a[2].tobytes() != b[2].tobytes()) for a, b in zip(plain, repeated)) <= 1
+    labels = table.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    chosen = [[r.doc_id for r in toxicity._sampled(t, labels, {0: 50, 1: 50}).collect()] for t in (table, more)]
+    assert sorted(chosen[0]) == sorted(chosen[1]) and len(set(chosen[1])) == len(chosen[1])
