@@ -7,7 +7,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsignal.llm import chat, jaccard, langid, neighbours, packing, pieces, quality, tokencount, toxicity, warc
+from newsignal.llm import (
+    alignment, chat, decontamination, jaccard, langid, neighbours, packing, pieces, quality, runs, tokencount, toxicity, warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +56,20 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(spark, _table(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(
+        spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_nearest_neighbours, op4_toxicity, op5_warc,
     op6_chat_formatting, op7_sentencepiece, op8_token_counts, op9_packing,
-    op10_jaccard_join)} | {"pipeline": corpus_pipeline.run}
-ORACLES = {"op6_chat_formatting": chat.RENDER_SQL}
+    op10_jaccard_join, op11_decontamination, op12_token_alignment, op13_periodic_runs)} | {"pipeline": corpus_pipeline.run}
+ORACLES = {"op6_chat_formatting": chat.RENDER_SQL, "op11_decontamination": decontamination.REPORT_SQL}
