@@ -12,12 +12,14 @@ differ. For unrelated documents every Jaccard distance to a document is 1, so do
   differences to all cells together bound the number of differing elements from below, for any two sets.
 
 A region is joined recursively by Voronoi cells in the second space, with windows of twice the reach (``region_pairs``).
-What no bound rules out is verified on whole sets.
+What no bound rules out is not listed pair by pair: a region gives each set one other set of its cluster, so it makes no more rows than it has.
+The clusters of all regions together are groups, and every pair in reach lies within one. Each set is sent to its group once (to as many
+blocks as the group has), where the sizes of all intersections come from one product of incidence matrices.
 
 Equal sets are one class from the start. Classes are first compared with one class of each of their first four regions and
 what is linked is contracted to components. Then all windows are joined, but only between different components. So
-groups of near copies are linked star by star, not pair by pair; regions beyond ``BLOCK`` rows are split into blocks. Links
-and components stay in tables; the driver sees bitmaps of a fixed size only.
+groups of near copies are linked star by star, not pair by pair; regions and groups beyond ``BLOCK`` rows are split into blocks. Links
+and components stay in tables, which are deleted as soon as what follows is written; the driver sees bitmaps of a fixed size only.
 
 Defined cases: null text, or text without words, has an empty set and is linked with nothing; fewer words than ``words`` are
 one shingle; repeated rows are in one component; a null id never is the smallest of a component that has another; an empty
@@ -26,6 +28,7 @@ table gives an empty result. Shingles and sets are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 
 from newsignal.llm.batches import small_batches
 from newsignal.llm.hashing import LOWER, TextWords, in_chunks, mix
-from newsignal.session import durable
+from newsignal.session import delete, shared_dir
 
 SHARE = 90
 WORDS = 3
@@ -47,6 +50,12 @@ COMMON = 32
 BITS = 1 << 23
 BLOCK = 1_024
 LEAF = 128
+#: Shingles of a block of a group, and columns of the matrix that are multiplied at once.
+ITEMS = 1 << 20
+COLUMNS = 4_096
+
+#: Names that columns handed through must not have.
+OWN_COLUMNS = ("text", "own", "n", "low", "n_shingles", "least", "root", "smallest")
 
 _ODD = [np.uint64(x) for x in (
     0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
@@ -236,6 +245,7 @@ class Rows:
         return good
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of different components that share a region and that the bounds leave in reach."""
         edges = np.flatnonzero((self.region[1:] != self.region[:-1]).any(axis=1)) + 1
         bounds = np.concatenate([[0], edges, [len(self.own)]])
         sizes = np.diff(bounds)
@@ -264,37 +274,100 @@ class Rows:
         same = ((self.heads[i][:, :, None] == self.heads[j][:, None, :]) & (self.heads[i] != 0)[:, :, None]).any(axis=2)
         first = self.heads[i][np.arange(len(i)), same.argmax(axis=1)]
         here = ~same.any(axis=1) | (first == self.region[i, 0])
-        return self.own[i[here]], self.own[j[here]]
-
-
-def _join_regions(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) to be verified, from rows sorted by region. A region's rows are held until its last one is there."""
+        return i[here], j[here]
+
+
+def representatives(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows the first row that pairs (i, j) connect it with."""
+    label = np.arange(n)
+    while len(i):
+        least = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, label[i], least)
+        np.minimum.at(new, label[j], least)
+        while (new[new] != new).any():
+            new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    return label
+
+
+def _ends(i: np.ndarray, j: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+    """What connects the rows that pairs connect: one row for each but the first of each cluster."""
+    first = representatives(i, j, len(own))
+    moved = np.flatnonzero(first != np.arange(len(own)))
+    a, b = own[moved], own[first[moved]]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Rows sorted by key in parts that end where a key ends; the rows of a key are held until its last one is there."""
     held: list[pa.RecordBatch] = []
-
-    def joined(part: pa.Table) -> pa.RecordBatch:
-        a, b = Rows(part, share).pairs()
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("shingle", "p", "q")], axis=1)
+        key = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns], axis=1)
         other = np.flatnonzero((key != key[-1]).any(axis=1))
         cut = int(other[-1]) + 1 if len(other) else 0  # where the last region starts
         if held:
-            before = [held[-1].column(c)[held[-1].num_rows - 1].as_py() for c in ("shingle", "p", "q")]
+            before = [held[-1].column(c)[held[-1].num_rows - 1].as_py() for c in columns]
             if not cut and before != key[-1].tolist():
-                yield joined(pa.Table.from_batches(held))
+                yield pa.Table.from_batches(held)
                 held = []
         if cut:
-            yield joined(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
             held = []
         held.append(batch.slice(cut))
     if held:
-        yield joined(pa.Table.from_batches(held))
+        yield pa.Table.from_batches(held)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, keep: Callable, words: int, share: int) -> DataFrame:
+def _join_regions(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
+    """What connects the sets in reach of each other, region by region."""
+    for part in _by_key(batches, ("shingle", "p", "q")):
+        rows = Rows(part, share)
+        yield _ends(*rows.pairs(), rows.own)
+
+
+def common_elements(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, as a product of incidence matrices, some columns at a time."""
+    sizes = [len(x) for x in sets]
+    elements, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = times[column] > 1  # the others are in no intersection
+    number = np.cumsum(times > 1) - 1
+    row, column = row[shared], number[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)  # whole numbers below 2 ** 24
+    for first in range(0, int((times > 1).sum()), COLUMNS):
+        part = slice(*np.searchsorted(column, (first, first + COLUMNS)))
+        matrix = np.zeros((len(sets), COLUMNS), np.float32)
+        matrix[row[part], column[part] - first] = 1
+        common += matrix @ matrix.T
+    return common
+
+
+def _linked(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
+    """What connects the sets of a group that link, from rows sorted by group and block."""
+    for part in _by_key(batches, ("group", "p", "q")):
+        number = lambda c: part.column(c).combine_chunks().to_numpy()  # noqa: E731, B023
+        key = np.stack([number(c) for c in ("group", "p", "q")], axis=1)
+        own, root, items = number("own"), number("root"), part.column("items")
+        edges = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        for a, b in zip([0, *edges], [*edges, len(own)]):
+            if (root[a:b] == root[a]).all():
+                continue
+            sets = [np.frombuffer(x.as_py(), "<u8") for x in items[a:b]]
+            sizes = np.array([len(x) for x in sets])
+            common = common_elements(sets).astype(np.int64)
+            good = 100 * common >= share * (sizes[:, None] + sizes[None, :] - common)
+            good &= root[a:b, None] != root[None, a:b]
+            yield _ends(*np.nonzero(np.triu(good, 1)), own[a:b])
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, tables: Tables, words: int, share: int) -> DataFrame:
     """Pairs whose whole sets link."""
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,12 +379,32 @@ def _verified(docs: DataFrame, pairs: DataFrame, keep: Callable, words: int, sha
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     ends = pairs.select(F.col("a").alias("own")).union(pairs.select("b"))
-    sets = keep(with_sets(docs, Bitmap(ends, "own"), words))
+    sets = tables.keep(with_sets(docs, Bitmap(ends, "own"), words))
     of = lambda end: sets.select(F.col("own").alias(end), F.col("items").alias(f"items_{end}"))
-    return keep(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(linked, "a bigint, b bigint"))
-
-
-def components(links: DataFrame, keep: Callable) -> DataFrame:
+    links = tables.keep(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(linked, "a bigint, b bigint"))
+    tables.drop(sets)
+    return links
+
+
+def _linked_groups(
+    docs: DataFrame, classes: DataFrame, roots: DataFrame, edges: DataFrame, tables: Tables, words: int, share: int,
+) -> DataFrame:
+    """Links between different components within the groups that ``edges`` connect; what connects the classes that link."""
+    inner = components(edges, tables)
+    members = inner.select("own", F.col("root").alias("group")).union(inner.select("root", "root").distinct())
+    members = tables.keep(_rooted(members.join(classes.select("own", "n"), "own"), roots))
+    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("items")).select(
+        "group", F.ceil(F.greatest(F.col("rows") / BLOCK, F.col("items") / ITEMS)).cast("int").alias("blocks"))
+    placed = members.join(sizes, "group").withColumn("block", _block()).select("own", "root", "group", F.explode(_met()).alias("pair"))
+    sets = with_sets(docs, Bitmap(members, "own"), words)
+    key = ["group", "p", "q"]
+    rows = placed.select("own", "root", "group", "pair.*").join(sets, "own").repartition(*key).sortWithinPartitions(*key, "own")
+    links = tables.keep(rows.mapInArrow(partial(_linked, share=share), "a bigint, b bigint"))
+    tables.drop(inner, members)
+    return links
+
+
+def components(links: DataFrame, tables: Tables) -> DataFrame:
     """own and root (the smallest class reachable) of every linked class, by alternating stars.
 
     A step replaces links by links to the smallest neighbour; it ends when links are stars already.
@@ -329,13 +422,14 @@ def components(links: DataFrame, keep: Callable) -> DataFrame:
     def state(edges: DataFrame):
         return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).collect()[0])
 
-    edges = keep(links.select(larger.alias("a"), smaller.alias("b")).filter("a <> b").distinct())
+    edges = tables.keep(links.select(larger.alias("a"), smaller.alias("b")).filter("a <> b").distinct())
     now = state(edges)
     while True:
-        edges = keep(star(star(edges, True), False))
+        before, edges = edges, tables.keep(star(star(edges, True), False))
+        tables.drop(before)
         then, now = now, state(edges)
         if then == now:
-            return edges.select(F.col("a").alias("own"), F.col("b").alias("root"))
+            return tables.renamed(edges, {"a": "own", "b": "root"})
 
 
 def _rooted(classes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -361,22 +455,55 @@ def _star_pairs(classes: DataFrame, share: int) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(possible, "a bigint, b bigint")
 
 
-def _window_pairs(classes: DataFrame, roots: DataFrame, keep: Callable, share: int) -> DataFrame:
-    """Pairs of classes of different components that share a region of their windows and may be in reach."""
+def _block() -> Column:
+    return F.pmod(F.xxhash64("own"), F.col("blocks")).cast("int")
+
+
+def _met() -> Column:
+    """The pairs of blocks in which a row of ``block`` meets the others."""
+    return F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(
+        F.least(F.col("block"), other).alias("p"), F.greatest(F.col("block"), other).alias("q")))
+
+
+def _window_edges(classes: DataFrame, roots: DataFrame, tables: Tables, share: int) -> DataFrame:
+    """What connects classes of different components that share a region of their windows and may be in reach."""
     known = _rooted(classes, roots)
     spread = known.select("own", "root", F.explode("prefix").alias("shingle"))
     mixed = spread.groupBy("shingle").agg(
         F.count(F.lit(1)).alias("rows"), F.min("root").alias("least"), F.max("root").alias("most"),
     ).filter("least < most").select("shingle", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("own"), F.col("blocks")).cast("int")
-    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(
-        F.least(F.col("block"), other).alias("p"), F.greatest(F.col("block"), other).alias("q")))
-    placed = keep(spread.join(mixed, "shingle").withColumn("block", block).select("own", "shingle", F.explode(met).alias("pair")))
+    placed = tables.keep(spread.join(mixed, "shingle").withColumn("block", _block()).select("own", "shingle", F.explode(_met()).alias("pair")))
     heads = [F.get("prefix", k).alias(f"h{k}") for k in range(STARS)]
     details = known.select("own", "root", "n", "cells", *heads)
     key = ["shingle", "p", "q"]
     rows = placed.select("own", "shingle", "pair.*").join(details, "own").repartition(*key).sortWithinPartitions(*key, "own")
-    return rows.mapInArrow(partial(_join_regions, share=share), "a bigint, b bigint").distinct()
+    edges = tables.keep(rows.mapInArrow(partial(_join_regions, share=share), "a bigint, b bigint").distinct())
+    tables.drop(placed)
+    return edges
+
+
+class Tables:
+    """Intermediate results in the shared folder, deleted once what follows is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, shared_dir(spark, "jaccard")
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.paths)}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(kept)] = kept, path
+        return kept
+
+    def renamed(self, kept: DataFrame, names: dict[str, str]) -> DataFrame:
+        other = kept.withColumnsRenamed(names)
+        self.paths[id(other)] = other, self.paths[id(kept)][1]
+        return other
+
+    def drop(self, *kept: DataFrame) -> None:
+        for df in kept:
+            delete(self.spark, self.paths[id(df)][1])
 
 
 def smallest_of_components(spark: SparkSession, docs: DataFrame, columns: tuple[str, ...], order: Column,
@@ -386,22 +513,27 @@ def smallest_of_components(spark: SparkSession, docs: DataFrame, columns: tuple[
     if not 1 <= words <= len(_ODD) or not 1 <= share <= 100:
         raise ValueError(f"words must be 1 to {len(_ODD)}, share 1 to 100")
     small_batches(spark)
-    keep = partial(durable, spark)
+    tables = Tables(spark)
     docs = docs.select(*columns, "text")
-    counted = keep(with_counts(docs, words, share, columns))
+    counted = tables.keep(with_counts(docs, words, share, columns))
     often = counted.select(F.explode("low").alias("shingle")).groupBy("shingle").count().filter(F.col("count") > COMMON)
-    classes = keep(with_windows(docs, Bitmap(often, "shingle"), words, share))
-    stars = keep(_star_pairs(classes, share))
-    links = _verified(docs, stars, keep, words, share)
-    roots = components(links, keep)
-    rest = keep(_window_pairs(classes, roots, keep, share))
-    more = _verified(docs, rest, keep, words, share)
-    roots = components(roots.select(F.col("own").alias("a"), F.col("root").alias("b")).union(more), keep)
-    slim = counted.select(*columns, "own", F.col("n").alias("n_shingles"))
+    classes = tables.keep(with_windows(docs, Bitmap(often, "shingle"), words, share))
+    slim = tables.keep(counted.select(*columns, "own", F.col("n").alias("n_shingles")))
+    tables.drop(counted)
+    stars = tables.keep(_star_pairs(classes, share))
+    links = _verified(docs, stars, tables, words, share)
+    tables.drop(stars)
+    starred = components(links, tables)
+    edges = _window_edges(classes, starred, tables, share)
+    more = _linked_groups(docs, classes, starred, edges, tables, words, share)
+    tables.drop(edges, classes, links)
+    roots = components(starred.select(F.col("own").alias("a"), F.col("root").alias("b")).union(more), tables)
+    tables.drop(starred, more)
     least = slim.filter("own is not null").groupBy("own").agg(F.min(order).alias("least"))
     of_root = _rooted(least, roots)
     smallest = of_root.groupBy("root").agg(F.min("least").alias("smallest"))
-    named = keep(of_root.join(smallest, "root").select("own", "smallest"))
+    named = tables.keep(of_root.join(smallest, "root").select("own", "smallest"))
+    tables.drop(roots)
     return slim.join(named, "own", "left").select(*columns, "n_shingles", "smallest")
 
 

@@ -182,8 +182,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     held = [i for i in range(len(found)) if i % 5 == 4]
     seen = [i for i in range(len(found)) if i % 5 != 4]
     weights = follow_the_leader([vectors[i] for i in seen], [labels[i] for i in seen], len(languages))
-    logits = np.array([values @ weights[cells] for cells, values in (vectors[i] for i in held)]).reshape(len(held), -1)
-    temperature = fit_temperature(logits, np.array([labels[i] for i in held], np.int64))
+    temperature = 1.0  # of samples too small to hold rows out
+    if held:
+        logits = np.array([values @ weights[cells] for cells, values in (vectors[i] for i in held)]).reshape(len(held), -1)
+        temperature = fit_temperature(logits, np.array([labels[i] for i in held], np.int64))
     return Model(languages, idf, weights.astype(np.float32), temperature)
 
 

@@ -19,6 +19,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -42,10 +43,12 @@ SWEEPS = 60
 END_ID = 2
 #: Words whose ids a worker keeps.
 MOST_WORDS = 1_000_000
+#: Rows whose new words are asked for together.
+PART = 512
 
 
 class WordIds(dict):
-    """Ids of words as little-endian 32-bit numbers, asked from the library once for each word.
+    """Ids of words as little-endian 32-bit numbers, asked from the library once for each word, many words at a time.
 
     The tokenizer drops white space and no piece of it spans any, so a text's ids are those of its
     parts between blanks and line ends.
@@ -53,23 +56,33 @@ class WordIds(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MOST_WORDS:
-            self.clear()
+    @staticmethod
+    def _parts(word: str) -> list[str]:
+        """What the library is asked for: words in lower case, which it puts all in, without the stop or comma that it parts from letters."""
         plain = word.lower() if word.isascii() and "<" not in word else word
-        if plain != word:  # the tokenizer puts all in lower case
-            ids = self[plain]
-        elif word[-1:] in (".", ",") and word[-2:-1].lower().isalpha():  # and parts letters from what follows
-            ids = self[word[:-1]] + self[word[-1]]
-        else:
-            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        self[word] = ids
-        return ids
+        if plain[-1:] in (".", ",") and plain[-2:-1].lower().isalpha():
+            return [plain[:-1], plain[-1]]
+        return [plain]
+
+    def learn(self, words: set[str]) -> None:
+        """Takes up all words that are not known yet."""
+        if len(self) + len(words) > MOST_WORDS:
+            self.clear()
+        new = [(word, self._parts(word)) for word in words if word not in self]
+        asked = list({part for _, parts in new for part in parts} - self.keys())
+        for part, found in zip(asked, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)):
+            self[part] = array("I", found.ids).tobytes()
+        for word, parts in new:
+            self[word] = b"".join([self[part] for part in parts])
 
-    def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+    def of(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        cut = [text.replace("\n", " ").split(" ") for text in texts]
+        self.learn(set().union(*cut))
+        return [b"".join(map(self.__getitem__, words)) for words in cut]
 
 
 _words: dict[str, WordIds] = {}
@@ -91,10 +104,10 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
         words = _words.setdefault(tokenizer, None) or WordIds(tokenizer)
         _words[tokenizer] = words
         for batch in batches:
-            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+            for part in (batch.slice(i, PART) for i in range(0, batch.num_rows, PART)):
                 counts, sums, places = [], array("q"), [0]
-                for text in part.column("text").to_pylist():
-                    ids = words.of(text or "") + end
+                for ids in words.of([text or "" for text in part.column("text").to_pylist()]):
+                    ids += end
                     counts.append(len(ids) // 4)
                     sums.extend(prefix_sums(ids))
                     places.append(len(sums))

@@ -8,7 +8,8 @@ the mean weight of its n-grams. A document is kept if it passes the base rules a
 
 Only DataFrame functions run. N-grams are exploded and summed up within each input task, so what is
 shuffled is one row per cell and task, or one row per document. The weights are a column of ``buckets``
-numbers, a size that does not depend on the corpus. They are whole millionths: sums are exact in any order.
+numbers, a size that does not depend on the corpus. They are whole millionths: sums are exact in any order. The raw corpus is counted without
+a join; of the texts only those whose id passes a bit test for the trusted ones are shuffled.
 
 Defined cases: a null or blank text has no words, fails the base rules and has score 0; rows are scored
 one by one, so repeated rows and repeated or null ids each give their own row; without trusted documents
@@ -21,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsignal.functions.bits import bit_table, may_hold
+
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
@@ -31,6 +34,9 @@ LEAST_SCORE = -0.12
 #: Added to both counts of a cell, at the scale of the trusted corpus.
 PSEUDO_COUNT = 2.0
 UNIT = 1_000_000
+#: Bits that tell ids apart before the join with the trusted ones, and shares of an id in that join.
+BITS = 1 << 24
+SALTS = 8
 
 
 def let(value: Column, body) -> Column:
@@ -104,14 +110,31 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
+def trusted_texts(docs: DataFrame, trusted: DataFrame, bits: int = BITS) -> DataFrame:
+    """text of every row whose id is in ``trusted`` (an id once).
+
+    A fixed number of bits tells most other rows apart where they are read; only what is left is shuffled, in ``SALTS`` shares of each id.
+    """
+    table = bit_table(trusted, "doc_id", bits).scalar()
+    maybe = docs.filter(F.col("doc_id").isNotNull() & may_hold(table, F.col("doc_id"), bits))
+    salted = maybe.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)))
+    shares = trusted.select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    return salted.join(shares.hint("merge"), ["doc_id", "salt"], "left_semi").select("text")
+
+
+def cell_counts(docs: DataFrame, buckets: int) -> DataFrame:
+    """cell and n, the n-grams of all texts that fall into it."""
+    tokens = docs.select(words(F.col("text")).alias("tokens"))
+    placed = tokens.select("tokens", F.explode(_positions(F.col("tokens"))).alias("p"))
+    return placed.select(_cell("tokens", "p", buckets).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+
+
 def cell_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row with one array: the log-ratio of every cell in millionths, counted over all documents; ``trusted`` has an id once."""
     spark = docs.sparkSession
-    marked = docs.join(trusted.withColumn("trusted", F.lit(1)), "doc_id", "left")
-    tokens = marked.select("trusted", words(F.col("text")).alias("tokens"))
-    placed = tokens.select("trusted", "tokens", F.explode(_positions(F.col("tokens"))).alias("p"))
-    cells = placed.select("trusted", _cell("tokens", "p", buckets).alias("cell"))
-    counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("good"))
+    raw = cell_counts(docs, buckets).withColumnRenamed("n", "raw")
+    good = cell_counts(trusted_texts(docs, trusted), buckets).withColumnRenamed("n", "good")
+    counts = raw.join(good, "cell", "left")  # ``buckets`` rows at most
     full = spark.range(buckets).select(F.col("id").cast("int").alias("cell")).join(F.broadcast(counts), "cell", "left")
     rows = full.agg(
         F.sort_array(F.collect_list(F.struct(

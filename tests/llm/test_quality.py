@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -40,7 +41,8 @@ def cell(*words, buckets):
 
 
 def test_scores_match_brute_force(spark, docs, prose):
-    good = [(i, prose(i, 60)) for i in range(30)]
+    common = prose(7, 300).split()
+    good = [(i, " ".join(random.Random(i).choices(common, k=60))) for i in range(30)]
     bad = [(100 + i, prose(i, 60, "ZYXW") + " !!") for i in range(6)]
     rows, buckets = good + bad + [(200, None)], 512
     found = {r.doc_id: r for r in quality.quality_rules(docs(rows), labels(spark, [(i, 1, 0) for i in range(20)] + [(100, 0, 0)]), buckets, -0.1).collect()}
@@ -60,6 +62,20 @@ def test_no_python_in_the_plan_and_empty_tables(spark, docs):
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
 
 
+def test_trusted_texts_are_found_at_any_number_of_bits(spark, docs):
+    rows = [(i, f"text {i}") for i in range(40)] + [(3, "again"), (3, "again"), (None, "none"), (5, None)]
+    trusted = spark.createDataFrame([(i,) for i in (3, 5, 7, 1_000)], "doc_id bigint")
+    for bits in (64, 256, 1 << 16):
+        found = quality.trusted_texts(docs(rows), trusted, bits)
+        assert sorted(repr(r.text) for r in found.collect()) == sorted(map(repr, ["text 3", "again", "again", "text 5", None, "text 7"]))
+    assert quality.trusted_texts(docs(rows), trusted.limit(0), 64).collect() == []
+
+
+def test_whole_texts_are_not_shuffled_for_the_raw_counts(spark, docs):
+    plan = quality.quality_rules(docs([(1, "a b")]), labels(spark, [(1, 1, 0)]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") == 1 and "Join LeftOuter, (doc_id" not in plan
+
+
 def test_every_trusted_document_counts(spark):
     docs = spark.range(40_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 97).alias("text"))
     good = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))

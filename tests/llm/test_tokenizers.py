@@ -30,7 +30,14 @@ def test_counts_equal_the_library(some):
 @settings(max_examples=300, deadline=None)
 @given(texts)
 def test_word_ids_equal_the_library(text):
-    assert np.frombuffer(word_ids.of(text), "<u4").tolist() == word_library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(word_ids.of([text])[0], "<u4").tolist() == word_library.encode(text, add_special_tokens=False).ids
+
+
+def test_words_are_forgotten_and_learned_again(monkeypatch):
+    monkeypatch.setattr(packing, "MOST_WORDS", 5)
+    few = packing.WordIds(WORDS)
+    for some in (["one two three", "Four, five. six"], ["one seven"], ["two eight nine ten eleven twelve", ""]):
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in few.of(some)] == [e.ids for e in word_library.encode_batch(some, add_special_tokens=False)]
 
 
 @settings(max_examples=300, deadline=None)
