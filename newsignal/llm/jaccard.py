@@ -4,8 +4,8 @@ metric regions. ``WORDS`` and ``SHARE`` are the values of the op10 query; caller
 Sets are compared by two distances, both metrics: the Jaccard distance, and the number of elements in which two sets
 differ. For unrelated documents every Jaccard distance to a document is 1, so documents are no use as pivots. The pivots are:
 
-* **single shingles**: a set's distance to the shingles it holds is the same, so ties are put in one global order (shingles
-  found in many sets last, then by hash), and the Voronoi region of a set is that of its first shingle. A set within reach
+* **single shingles**: a set's distance to the shingles it holds is the same, so ties are put in one global order (rare
+  ones first, by a table of counts of fixed size, then by hash), and the Voronoi region of a set is that of its first shingle. A set within reach
   misses at most 100 - ``share`` percent of the elements, so by the triangle inequality a window over that part of the order
   (plus one) holds a common shingle: a set is replicated to the regions in that window. No pair is lost.
 * **cells** of the shingle space: the distance of a set to a cell is given by how many of its shingles lie there. The
@@ -16,7 +16,7 @@ What no bound rules out is not listed pair by pair: a region gives each set one
 The clusters of all regions together are groups, and every pair in reach lies within one. Each set is sent to its group once (to as many
 blocks as the group has), where the sizes of all intersections come from one product of incidence matrices.
 
-Equal sets are one class from the start. Classes are first compared with one class of each of their first four regions and
+Equal sets are one class from the start. Classes are first compared with one class of each of four shingles of low hash and
 what is linked is contracted to components. Then all windows are joined, but only between different components. So
 groups of near copies are linked star by star, not pair by pair; regions and groups beyond ``BLOCK`` rows are split into blocks. Links
 and components stay in tables, which are deleted as soon as what follows is written; the driver sees bitmaps of a fixed size only.
@@ -45,12 +45,19 @@ SHARE = 90
 WORDS = 3
 CELLS = 64
 STARS = 4
-#: A shingle in the windows of more sets than this is put last in the order.
+#: Places of the table of rarity, in parts of PART places; levels for each doubling of a count.
+PLACES = 1 << 22
+PART = 1 << 12
+STEPS = 8
+#: A shingle found in more sets than usual and this many is no star.
 COMMON = 32
 BITS = 1 << 23
+#: Pairs that a worker holds before it reduces them to clusters.
+PAIRS = 1 << 17
 BLOCK = 1_024
 LEAF = 128
-#: Shingles of a block of a group, and columns of the matrix that are multiplied at once.
+#: Sets and shingles of a block of a group, and columns of the matrix that are multiplied at once.
+SETS = 512
 ITEMS = 1 << 20
 COLUMNS = 4_096
 
@@ -142,11 +149,10 @@ def _map_sets(docs: DataFrame, schema: str, row: Callable, words: int, columns:
     return docs.select(*columns, "text").mapInArrow(run, kinds + schema)
 
 
-_SIGNED, _COUNTS, _CLASSES, _SETS = pa.int64(), "own bigint, n bigint, low array<bigint>", "own bigint, n bigint, cells binary, prefix array<bigint>", "own bigint, items binary"
+_DESCRIBED, _SETS = "own bigint, n bigint, cells binary, prefix array<bigint>, stars array<bigint>", "own bigint, items binary"
 _types = {
-    _COUNTS: [_SIGNED, _SIGNED, pa.list_(_SIGNED)],
-    _CLASSES: [_SIGNED, _SIGNED, pa.binary(), pa.list_(_SIGNED)],
-    _SETS: [_SIGNED, pa.binary()],
+    _DESCRIBED: [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())],
+    _SETS: [pa.int64(), pa.binary()],
 }
 
 
@@ -154,25 +160,55 @@ def _signed(values: np.ndarray) -> list[int]:
     return values.view(np.int64).tolist()
 
 
-def with_counts(docs: DataFrame, words: int, share: int, columns: tuple[str, ...]) -> DataFrame:
-    """columns, own (class), n (set size), low: the first shingles by hash, somewhat more than the window."""
-    def row(found, own, first):
-        low = found[: window_size(len(found), share) * 3 // 2 + 8] if first else found[:0]
-        return own, len(found), _signed(low)
+def rarity(docs: DataFrame, words: int) -> np.ndarray:
+    """A level for every place of a table of fixed size: about the logarithm of how many sets have shingles of that place.
 
-    return _map_sets(docs, _COUNTS, row, words, columns)
+    Each task counts its own classes and emits the whole table in parts; the parts are added up place by place.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen = np.zeros(PLACES, np.uint32), set()
+        for batch in batches:
+            for chunk in in_chunks((t.as_py() or "").encode() for t in batch.column("text")):
+                for found in shingle_sets(chunk, words):
+                    own = class_id(found)
+                    if own is not None and own not in seen:
+                        seen.add(own)
+                        np.add.at(counts, (found & np.uint64(PLACES - 1)).astype(np.int64), 1)
+        parts = np.minimum(counts, 255).astype(np.uint8).reshape(-1, PART)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts")):
+                total = sums.setdefault(part, np.zeros(PART, np.int64))
+                total += np.frombuffer(counts.as_py(), np.uint8)
+        levels = [np.minimum(np.rint(np.log2(1 + total) * STEPS), 255).astype(np.uint8).tobytes() for total in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["part", "levels"])
+
+    parts = docs.select("text").mapInArrow(count, "part int, counts binary").repartition("part").mapInArrow(add, "part int, levels binary")
+    levels = np.zeros((PLACES // PART, PART), np.uint8)
+    for part, found in parts.collect():  # PLACES / PART rows
+        levels[part] = np.frombuffer(found, np.uint8)
+    return levels.reshape(-1)
+
+
+def described(docs: DataFrame, levels: np.ndarray, words: int, share: int, columns: tuple[str, ...]) -> DataFrame:
+    """columns, own, n of every row; with the first of each class in a task also cells, prefix (the window in the global order)
+    and stars (a few shingles that near copies are likely to share)."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    mean = float((2.0 ** (levels / STEPS) - 1).mean())
+    often = STEPS * np.log2(1 + mean + 6 * mean**0.5 + COMMON)
 
-def with_windows(docs: DataFrame, common: Bitmap, words: int, share: int) -> DataFrame:
-    """own, n, cells, prefix: the window of each set in the global order."""
     def row(found, own, first):
         if own is None or not first:
-            return None
-        last = common.has(found)
-        order = np.concatenate([found[~last], found[last]])
-        return own, len(found), cell_counts(found), _signed(order[: window_size(len(found), share)])
+            return own, len(found), None, None, None
+        level = shared.value[(found & np.uint64(PLACES - 1)).astype(np.int64)]
+        window = found[np.argsort(level, kind="stable")[: window_size(len(found), share)]]
+        stars = found[level <= often][:STARS]
+        return own, len(found), cell_counts(found), _signed(window), _signed(stars if len(stars) else found[:STARS])
 
-    return _map_sets(docs, _CLASSES, row, words).dropDuplicates(["own"])
+    return _map_sets(docs, _DESCRIBED, row, words, columns)
 
 
 def with_sets(docs: DataFrame, wanted: Bitmap, words: int) -> DataFrame:
@@ -190,17 +226,19 @@ def in_reach(sizes: np.ndarray, cells: np.ndarray, size: int, own: np.ndarray, s
     return (100 + share) * apart <= (100 - share) * (sizes + size)
 
 
-def region_pairs(sizes: np.ndarray, cells: np.ndarray, groups: np.ndarray, share: int = SHARE) -> np.ndarray:
-    """Pairs of rows of different groups that the bounds leave in reach, by recursive Voronoi cells.
+def region_parts(sizes: np.ndarray, cells: np.ndarray, groups: np.ndarray, share: int = SHARE) -> Iterator[np.ndarray]:
+    """Pairs of rows of different groups that the bounds leave in reach, some at a time, by recursive Voronoi cells.
 
     Two pivots split the rows; a row goes to the nearer pivot, and to the other one too if its distances to both
     differ by no more than twice the reach. Pairs of rows that were replicated are found twice.
     """
+    open_ = [np.arange(len(sizes))]
     found: list[np.ndarray] = []
-
-    def join(rows: np.ndarray) -> None:
-        if (groups[rows] == groups[rows[0]]).all():
-            return
+    held = 0
+    while open_:
+        rows = open_.pop()
+        if not len(rows) or (groups[rows] == groups[rows[0]]).all():
+            continue
         if len(rows) > LEAF:
             reach = (100 - share) * 2 * sizes[rows].max() / (100 + share)
             one = np.abs(cells[rows] - cells[rows[0]]).sum(axis=1)
@@ -208,18 +246,25 @@ def region_pairs(sizes: np.ndarray, cells: np.ndarray, groups: np.ndarray, share
             two = np.abs(cells[rows] - cells[rows[far]]).sum(axis=1)
             left, right = rows[one - two <= 2 * reach], rows[two - one <= 2 * reach]
             if len(left) + len(right) < 1.5 * len(rows):
-                join(left)
-                join(right)
-                return
+                open_ += [right, left]
+                continue
         for place, i in enumerate(rows[:-1]):
             others = rows[place + 1 :]
             others = others[groups[others] != groups[i]]
             near = others[in_reach(sizes[others], cells[others], sizes[i], cells[i], share)]
             if len(near):
                 found.append(np.stack([np.full(len(near), i), near], axis=1))
+                held += len(near)
+            if held > PAIRS:
+                yield np.concatenate(found)
+                found, held = [], 0
+    if found:
+        yield np.concatenate(found)
+
 
-    if len(sizes):
-        join(np.arange(len(sizes)))
+def region_pairs(sizes: np.ndarray, cells: np.ndarray, groups: np.ndarray, share: int = SHARE) -> np.ndarray:
+    """All pairs of ``region_parts``, once each."""
+    found = list(region_parts(sizes, cells, groups, share))
     return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
 
 
@@ -245,7 +290,7 @@ class Rows:
         return good
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of different components that share a region and that the bounds leave in reach."""
+        """Pairs that connect all rows of different components that share a region and that the bounds leave in reach."""
         edges = np.flatnonzero((self.region[1:] != self.region[:-1]).any(axis=1)) + 1
         bounds = np.concatenate([[0], edges, [len(self.own)]])
         sizes = np.diff(bounds)
@@ -257,17 +302,19 @@ class Rows:
             if not len(rows):
                 break
             near = rows[self.possible(rows, rows + step)]
-            left.append(near)
-            right.append(near + step)
+            i, j = self._own(near, near + step)
+            left.append(i)
+            right.append(j)
         for group in np.flatnonzero(sizes > LEAF):
             part = slice(bounds[group], bounds[group + 1])
-            found = region_pairs(self.n[part], self.cells[part], self.root[part], self.share) + bounds[group]
-            left.append(found[:, 0])
-            right.append(found[:, 1])
+            for found in region_parts(self.n[part], self.cells[part], self.root[part], self.share):
+                i, j = self._own(found[:, 0] + bounds[group], found[:, 1] + bounds[group])
+                i, j = star(i, j, len(self.own))
+                left.append(i)
+                right.append(j)
         if not left:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        i, j = np.concatenate(left), np.concatenate(right)
-        return self._own(i, j)
+        return np.concatenate(left), np.concatenate(right)
 
     def _own(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Leaves out pairs that an earlier common region among their first ones has."""
@@ -293,11 +340,17 @@ def representatives(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
+def star(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect the same rows: each but the first of a cluster with that first one."""
+    first = representatives(i, j, n)
+    moved = np.flatnonzero(first != np.arange(n))
+    return moved, first[moved]
+
+
 def _ends(i: np.ndarray, j: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
-    """What connects the rows that pairs connect: one row for each but the first of each cluster."""
-    first = representatives(i, j, len(own))
-    moved = np.flatnonzero(first != np.arange(len(own)))
-    a, b = own[moved], own[first[moved]]
+    """What connects the rows that pairs connect."""
+    i, j = star(i, j, len(own))
+    a, b = own[i], own[j]
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
@@ -360,8 +413,8 @@ def _linked(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.Record
             if (root[a:b] == root[a]).all():
                 continue
             sets = [np.frombuffer(x.as_py(), "<u8") for x in items[a:b]]
-            sizes = np.array([len(x) for x in sets])
-            common = common_elements(sets).astype(np.int64)
+            sizes = np.array([len(x) for x in sets], np.int32)
+            common = common_elements(sets).astype(np.int32)
             good = 100 * common >= share * (sizes[:, None] + sizes[None, :] - common)
             good &= root[a:b, None] != root[None, a:b]
             yield _ends(*np.nonzero(np.triu(good, 1)), own[a:b])
@@ -394,7 +447,7 @@ def _linked_groups(
     members = inner.select("own", F.col("root").alias("group")).union(inner.select("root", "root").distinct())
     members = tables.keep(_rooted(members.join(classes.select("own", "n"), "own"), roots))
     sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("items")).select(
-        "group", F.ceil(F.greatest(F.col("rows") / BLOCK, F.col("items") / ITEMS)).cast("int").alias("blocks"))
+        "group", F.ceil(F.greatest(F.col("rows") / SETS, F.col("items") / ITEMS)).cast("int").alias("blocks"))
     placed = members.join(sizes, "group").withColumn("block", _block()).select("own", "root", "group", F.explode(_met()).alias("pair"))
     sets = with_sets(docs, Bitmap(members, "own"), words)
     key = ["group", "p", "q"]
@@ -437,8 +490,8 @@ def _rooted(classes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _star_pairs(classes: DataFrame, share: int) -> DataFrame:
-    """Each class with one class of each of its first regions, where the cell distances allow a link."""
-    heads = classes.select("own", F.explode(F.slice("prefix", 1, STARS)).alias("shingle"))
+    """Each class with one class of each of its star shingles, where the cell distances allow a link."""
+    heads = classes.select("own", F.explode("stars").alias("shingle"))
     pivots = heads.groupBy("shingle").agg(F.min("own").alias("b"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     pairs = heads.join(pivots, "shingle").filter("own <> b").select(F.col("own").alias("a"), "b").distinct()
     of = lambda end: classes.select(F.col("own").alias(end), F.col("n").alias(f"n_{end}"), F.col("cells").alias(f"cells_{end}"))
@@ -515,11 +568,10 @@ def smallest_of_components(spark: SparkSession, docs: DataFrame, columns: tuple[
     small_batches(spark)
     tables = Tables(spark)
     docs = docs.select(*columns, "text")
-    counted = tables.keep(with_counts(docs, words, share, columns))
-    often = counted.select(F.explode("low").alias("shingle")).groupBy("shingle").count().filter(F.col("count") > COMMON)
-    classes = tables.keep(with_windows(docs, Bitmap(often, "shingle"), words, share))
-    slim = tables.keep(counted.select(*columns, "own", F.col("n").alias("n_shingles")))
-    tables.drop(counted)
+    rows = tables.keep(described(docs, rarity(docs, words), words, share, columns))
+    classes = tables.keep(rows.filter("prefix is not null").select("own", "n", "cells", "prefix", "stars").dropDuplicates(["own"]))
+    slim = tables.keep(rows.select(*columns, "own", F.col("n").alias("n_shingles")))
+    tables.drop(rows)
     stars = tables.keep(_star_pairs(classes, share))
     links = _verified(docs, stars, tables, words, share)
     tables.drop(stars)

@@ -54,6 +54,7 @@ def test_repeated_rows_null_ids_and_long_texts_through_all_stages(spark, tmp_pat
 def test_groups_of_near_copies_in_blocks(spark, docs, prose, monkeypatch, block, items):
     """Copies that are near a common text but hardly near each other: many pairs to verify, few links."""
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "SETS", block)
     monkeypatch.setattr(jaccard, "ITEMS", items)
     base = prose(1, 200).split()
     texts = [" ".join(base)]
