@@ -186,6 +186,8 @@ QUERIES = {
     "dedupe_articles": lambda s, d: _articles(ingest.dedupe_by_url(normalized(s, d))),
     "union_feeds": lambda s, d: _articles(_union(s, d)),
     "link_companies": lambda s, d: linking.link_companies(normalized(s, d), tracked(s, d)).select("doc_id", "company_id"),
+    "link_companies_strict": lambda s, d: linking.link_companies_strict(
+        normalized(s, d), tracked(s, d)).select("doc_id", "company_id"),
     "analysis_text": _analysis_text,
 }
 
@@ -278,6 +280,22 @@ UNION ALL SELECT {_ROWS} FROM normalized WHERE company_search_term LIKE 'sector:
   JOIN kwords k ON contains(lower(n.title || ' ' || n.description || ' ' || n.content), k.keyword) GROUP BY doc_id)
 SELECT n.doc_id, coalesce(t.id, g.id) AS company_id FROM normalized n
 LEFT JOIN tracked t ON t.name = n.company_search_term LEFT JOIN guess g ON g.doc_id = n.doc_id
+WHERE coalesce(t.id, g.id) IS NOT NULL""",
+    "link_companies_strict": f"""WITH {NORMAL}, phrases AS (
+  SELECT regexp_extract_all(lower(name), '[\\p{{L}}\\p{{N}}]+') AS w, 2 AS stage, ordinal, id FROM tracked
+  UNION ALL SELECT regexp_extract_all(lower(symbol), '[\\p{{L}}\\p{{N}}]+'), 3, ordinal, id FROM tracked),
+needles AS (
+  SELECT ' ' || array_to_string(list_slice(w, 1, CASE stage WHEN 3 THEN len(w) ELSE coalesce(list_max(kept), 1) END), ' ') || ' ' AS needle,
+    stage, ordinal, id
+  FROM (SELECT *, list_filter(range(1, len(w) + 1), lambda i: w[i] NOT IN ({", ".join(f"'{x}'" for x in linking.LEGAL_FORMS)})) AS kept FROM phrases)
+  WHERE len(w) > 0),
+texts AS (
+  SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(title || ' ' || description || ' ' || content), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ' AS text
+  FROM normalized),
+guess AS (
+  SELECT doc_id, arg_min(k.id, k.stage * 1000000000::bigint + k.ordinal) AS id FROM texts JOIN needles k ON contains(text, needle) GROUP BY doc_id)
+SELECT n.doc_id, coalesce(t.id, g.id) AS company_id FROM normalized n
+LEFT JOIN tracked t ON t.name = n.company_search_term LEFT JOIN guess g ON g.doc_id = n.doc_id
 WHERE coalesce(t.id, g.id) IS NOT NULL""",
     "analysis_text": f"""WITH {RAW}, t AS (
   SELECT doc_id, concat_ws(' ', nullif(title, ''), nullif(title, ''), nullif(description, ''),

@@ -14,6 +14,7 @@ from newsignal.operators.linking import contained_keywords
 
 COMPANY_CONTEXT = ("stock", "market", "business")
 SECTOR_CONTEXT = ("stock", "market")
+REQUIRED = ("title", "publishedAt", "url")
 
 
 def company_terms(companies: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def corpus_feed(
 def with_required_fields(raw: DataFrame) -> DataFrame:
     """Articles with title, date and url. Blanks pass, as they are trimmed only later."""
     keep = F.lit(True)
-    for name in ("title", "publishedAt", "url"):
+    for name in REQUIRED:
         keep = keep & (F.coalesce(F.col(name), F.lit("")) != "")
     return raw.filter(keep)
 

@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -103,7 +104,9 @@ LINKS = [
 ]
 
 
-def test_linking_traps(spark):
+@pytest.mark.parametrize("direct", [1_000, 0])
+def test_linking_traps(spark, monkeypatch, direct):
+    monkeypatch.setattr(linking, "DIRECT", direct)
     companies = tracked_companies(spark)
     rows = [(i, term, title, "", "") for i, (term, title, _) in enumerate(LINKS)]
     df = spark.createDataFrame(rows, "i int, company_search_term string, title string, description string, content string")
@@ -119,8 +122,57 @@ def test_containment_against_brute_force(spark, texts, words):
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     keywords = spark.createDataFrame([(w,) for w in words], "term string")
     expected = sorted((i, w) for i, t in enumerate(texts) for w in words if w in t)
-    got = linking.contained_keywords(docs, F.col("text"), keywords, "term")
-    assert sorted((r.id, r.term) for r in got.collect()) == expected
+    for direct in (1_000, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(linking, "DIRECT", direct)
+            got = linking.contained_keywords(docs, F.col("text"), keywords, "term")
+            assert sorted((r.id, r.term) for r in got.collect()) == expected
+
+
+STRICT = [
+    ("Apple Inc.", "x", "Apple Inc."), ("", "Apple releases new iPhone", "Apple Inc."), ("", "pineapple stock", None),
+    ("", "a purchase of inc. shares", None), ("", "profit & loss", None), ("", "metal prices", None), ("", "shares in BRK.A rise", "Berkshire Hathaway"),
+    ("", "brk was a", None), ("", "Hathaway Berkshire", None), ("", "Berkshire, Hathaway!", "Berkshire Hathaway"), ("", "JPMorgan-Chase up", "JPMorgan Chase & Co."),
+    ("", "JPMorgan and Chase", None), ("", "Johnson & Johnson; Johnson", "Johnson & Johnson"), ("", "one Johnson", None), ("", "meta platforms", "Meta Platforms Inc."),
+    ("", "meta", "Meta Platforms Inc."), ("", "tesla or apple", "Apple Inc."), ("", "tsla and Microsoft", "Microsoft Corporation"), (None, None, None),
+]
+
+
+def test_strict_linking_takes_whole_words_in_a_row(spark):
+    companies = tracked_companies(spark)
+    rows = [(i, term, title, "", None) for i, (term, title, _) in enumerate(STRICT)]
+    df = spark.createDataFrame(rows, "i int, company_search_term string, title string, description string, content string")
+    linked = linking.link_companies_strict(df, companies)
+    assert linked.columns == linking.link_companies(df, companies).columns
+    names = linked.join(companies.select(F.col("id").alias("company_id"), "name"), "company_id")
+    assert {r.i: r.name for r in names.collect()} == {i: n for i, (_, _, n) in enumerate(STRICT) if n}
+    assert "Python" not in linked._jdf.queryExecution().toString()
+
+
+def test_strict_linking_against_brute_force(spark):
+    rng = random.Random(5)
+    words = ["ab", "cd", "ef", "inc", "co"]
+    names = sorted({" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(12)})
+    companies = spark.createDataFrame([(i, i, n, rng.choice(["gh", "ab.cd", "", None])) for i, n in enumerate(names)], "id int, ordinal int, name string, symbol string")
+    texts = [" ".join(rng.choices([*words, "x", "abx", "gh"], k=rng.randint(0, 8))) for _ in range(80)]
+    df = spark.createDataFrame([(i, "", t) for i, t in enumerate(texts)], "i int, company_search_term string, title string").withColumns(
+        {"description": F.lit(None).cast("string"), "content": F.lit("")})
+    needles = []
+    for r in companies.collect():
+        kept = r.name.split()
+        while len(kept) > 1 and kept[-1] in linking.LEGAL_FORMS:
+            kept.pop()
+        needles += [(2, r.ordinal, " ".join(kept)), (3, r.ordinal, (r.symbol or "").replace(".", " "))]
+    expected = {i: min(found)[1] for i, t in enumerate(texts) if (found := [n for n in needles if n[2] and f" {n[2]} " in f" {t} "])}
+    assert {r.i: r.company_id for r in linking.link_companies_strict(df, companies).collect()} == expected
+    plain = linking.link_companies_strict(df, companies, ()).select("i").distinct().count()
+    assert 0 < plain <= len(expected)
+
+
+def test_few_keywords_shuffle_nothing(spark):
+    df = spark.createDataFrame([(1, "", "Apple up", "", "")], "i int, company_search_term string, title string, description string, content string")
+    plan = linking.contained_keywords(df, F.col("title"), df.select(F.col("title").alias("term")), "term")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
 
 
 def test_linking_runs_no_python_and_takes_an_empty_list(spark):
