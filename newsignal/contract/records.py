@@ -12,6 +12,8 @@ from newsignal.contract.reports import AT, MODEL
 from newsignal.model import SCORE_TYPE, News, stable_id
 from newsignal.operators import store
 from newsignal.operators.integrity import violations
+from newsignal.operators.keyindex import KeyIndex
+from newsignal.session import shared_dir
 
 KEEP_DAYS = 15
 _SEEN = ["fetched_at", "company_search_term", "ordinal"]
@@ -29,6 +31,30 @@ def _labelled_articles(s: SparkSession, d: str) -> DataFrame:
     return known.select("url", stable_id(F.col("url")).alias("id")).distinct()
 
 
+def _indexed_articles(s: SparkSession, d: str) -> KeyIndex:
+    """A key index of the same articles: one base, and what a second batch adds."""
+    known = _labelled_articles(s, d)
+    index = KeyIndex(s, shared_dir(s, "keys"), known.schema, ("url",), rows=200)
+    index.rebuild(known.join(_of_good_documents(s, d), "url", "left_semi"))
+    index.add(index.unseen(known))
+    return index
+
+
+def _of_good_documents(s: SparkSession, d: str) -> DataFrame:
+    good = table(s, d, "labels").filter("quality = 1").select("doc_id")
+    return normalized(s, d).join(good, "doc_id", "left_semi").select("url")
+
+
+def _indexed_new_articles(s: SparkSession, d: str) -> DataFrame:
+    firsts = store.first_per_key(normalized(s, d), ["url"], _SEEN)
+    return _indexed_articles(s, d).unseen(firsts).select("url", "doc_id", "company_search_term")
+
+
+def _indexed_ids(s: SparkSession, d: str) -> DataFrame:
+    urls = _urls(s, d)
+    return store.ids_of(urls, _indexed_articles(s, d).lookup(urls), "url")
+
+
 def _urls(s: SparkSession, d: str) -> DataFrame:
     return raw_articles(s, d).select("url").filter(F.col("url") != "").distinct()
 
@@ -70,6 +96,8 @@ QUERIES = {
         adapter.all_scores(s, d), _negative_scores(s, d)).select("article_id", "processing_method", "sentiment_score")),
     "existing_urls": lambda s, d: store.existing(_urls(s, d), _labelled_articles(s, d), "url"),
     "article_ids": lambda s, d: store.ids_of(_urls(s, d), _labelled_articles(s, d), "url"),
+    "indexed_new_articles": _indexed_new_articles,
+    "indexed_article_ids": _indexed_ids,
     "retention_keep": lambda s, d: plain(_kept(s, d)),
     "retention_counts": lambda s, d: plain(store.retention_counts(adapter.news(s, d), AS_OF, KEEP_DAYS)),
     "integrity_violations": lambda s, d: plain(violations(_faulty(s, d))),
@@ -142,3 +170,6 @@ sc AS (
          'combined' AS processing_method FROM events)
 """ + "\nUNION ALL ".join(_RULES),
 }
+# Looked up in the key index, the answers are the same.
+ORACLES["indexed_new_articles"] = ORACLES["new_articles"]
+ORACLES["indexed_article_ids"] = ORACLES["article_ids"]

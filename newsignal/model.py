@@ -140,11 +140,12 @@ def tracked_companies(spark: SparkSession) -> DataFrame:
 
 @dataclass(frozen=True)
 class News:
-    """The three tables a report reads."""
+    """The three tables a report reads, and sums of the facts by hour if they are kept."""
 
     companies: DataFrame
     articles: DataFrame
     scores: DataFrame
+    sums: DataFrame | None = None
 
     def moment(self, as_of: datetime | Column | None) -> Column:
         """``as_of`` in the type of ``published_at``, so that the filter reaches the scan uncast."""
@@ -161,4 +162,5 @@ class News:
             self,
             companies=with_collation(self.companies, "name", "sector", "symbol"),
             articles=with_collation(self.articles, "url", "source"),
+            sums=None if self.sums is None else with_collation(self.sums, "source"),
         )

@@ -14,12 +14,17 @@ def _from_date(df: DataFrame, since: Column) -> DataFrame:
     return df.filter(F.col("published_date") >= F.to_date(since)) if "published_date" in df.columns else df
 
 
+def _to_date(df: DataFrame, until: Column) -> DataFrame:
+    return df.filter(F.col("published_date") <= F.to_date(until)) if "published_date" in df.columns else df
+
+
 def scored(
     news: News,
     since: Column | None,
     companies: DataFrame | None = None,
     method: str | None = None,
     how: str = "inner",
+    until: Column | None = None,
 ) -> DataFrame:
     """Articles joined with their scores; one row per article and method.
 
@@ -31,6 +36,9 @@ def scored(
     if since is not None:
         articles = _from_date(articles.filter(F.col("published_at") >= since), since)
         scores = _from_date(scores, since)
+    if until is not None:
+        articles = _to_date(articles.filter(F.col("published_at") < until), until)
+        scores = _to_date(scores, until)
     if method is not None:
         scores = scores.filter(F.col("processing_method") == method)
     articles = articles.select(F.col("id").alias("article_id"), "company_id", "source", "published_at")
@@ -42,6 +50,7 @@ def scored(
         F.col("sentiment_score").alias("score"),
         "confidence",
         F.col("sentiment_label").alias("label"),
+        F.col("processing_method").alias("method"),
     )
     return articles.join(scores, "article_id", how)
 
@@ -95,12 +104,56 @@ def volatility() -> Column:
     return population_stddev(F.col("n_scores"), F.col("total"), F.col("squares"))
 
 
+def _hour(moment: Column, kind) -> Column:
+    return F.date_trunc("hour", moment).cast(kind)
+
+
+def hourly_sums(news: News) -> DataFrame:
+    """Partial aggregates per company, source, method and hour; ``published_at`` is the start of the hour. Articles
+    without a score have no method."""
+    kind = news.articles.schema["published_at"].dataType
+    hour = _hour(F.col("published_at"), kind).alias("hour")
+    sums = partials(scored(news, None, how="left"), "company_id", "source", "method", hour)
+    return sums.withColumnRenamed("hour", "published_at").withColumn("published_date", F.to_date("published_at"))
+
+
+def _from_sums(news: News, since: Column | None, companies: DataFrame | None, method: str | None, how: str) -> DataFrame:
+    """Kept sums of the whole hours from ``since`` on, and those of the hour that it cuts, from the facts."""
+    sums = news.sums
+    if how == "inner":
+        sums = sums.filter(F.col("method").isNotNull())
+    if method is not None:
+        sums = sums.filter(F.col("method") == method)
+    if companies is not None:
+        sums = sums.join(companies.select(F.col("id").alias("company_id")), "company_id", "left_semi")
+    if since is None:
+        return sums
+    kind = news.articles.schema["published_at"].dataType
+    begun = _hour(since, kind)
+    whole = F.when(begun == since, begun).otherwise((begun + F.expr("INTERVAL 1 HOUR")).cast(kind))
+    cut = partials(scored(news, since, companies, method, how, whole), "company_id", "source", _hour(F.col("published_at"), kind).alias("hour"))
+    columns = ["company_id", "source", "published_at", *_ADDITIVE, "low", "high", "latest"]
+    kept = _from_date(sums.filter(F.col("published_at") >= whole), since)
+    return kept.select(*columns).unionByName(cut.withColumnRenamed("hour", "published_at").select(*columns))
+
+
+def summed(
+    news: News, since: Column | None, *keys: str | Column, companies: DataFrame | None = None,
+    method: str | None = None, how: str = "inner",
+) -> DataFrame:
+    """Partial aggregates per key, from the kept sums if ``news`` has them, else from the facts. Keys are made of
+    company, source and the hour of publication."""
+    if news.sums is None or (how == "left" and method is not None):
+        return partials(scored(news, since, companies, method, how), *keys)
+    return rolled_up(_from_sums(news, since, companies, method, how), *keys)
+
+
 def per_company(
     news: News, since: Column | None, companies: DataFrame | None = None,
     method: str | None = None, how: str = "inner",
 ) -> DataFrame:
     """Partial aggregates per company. Map-side sums keep a dominant company to a row per task."""
-    return partials(scored(news, since, companies, method, how), "company_id")
+    return summed(news, since, "company_id", companies=companies, method=method, how=how)
 
 
 def with_company(parts: DataFrame, companies: DataFrame, how: str = "inner") -> DataFrame:

@@ -18,8 +18,8 @@ from newsignal.functions.stats import ratio, rounded
 from newsignal.model import News
 from newsignal.operators.ordering import tile, with_global_rank
 from newsignal.plans.facts import (
-    average, average_confidence, partials, per_company, rolled_up, scored, volatility,
-    weighted_average, with_company,
+    average, average_confidence, per_company, rolled_up, summed, volatility, weighted_average,
+    with_company,
 )
 
 AsOf = datetime | Column | None
@@ -49,8 +49,8 @@ def weekly_company_report(
 ) -> DataFrame:
     """Per day: count, average, extremes, volatility, confidence, label counts and momentum."""
     chosen = _named(news, company)
-    facts = scored(news, _since(news, as_of, days), chosen, method)
-    daily = with_company(partials(facts, "company_id", _day()), chosen)
+    daily = with_company(summed(
+        news, _since(news, as_of, days), "company_id", _day(), companies=chosen, method=method), chosen)
     return daily.select(
         "company_name", "sector", "symbol", "date",
         F.col("n").alias("article_count"),
@@ -113,7 +113,7 @@ def sentiment_moving_average(
 
     The window has no partition: its input is one row per day of the look-back.
     """
-    daily = partials(scored(news, _since(news, as_of, days), _named(news, company)), _day()).select(
+    daily = summed(news, _since(news, as_of, days), _day(), companies=_named(news, company)).select(
         "date", average().alias("daily_sentiment"), F.col("n").alias("article_count")
     )
     recent = Window.orderBy("date").rowsBetween(1 - rows, Window.currentRow)
@@ -169,7 +169,7 @@ def source_reliability(
     news: News, days: int = 30, min_articles: int = 20, as_of: AsOf = None, digits: int | None = 4
 ) -> DataFrame:
     """Consistency 1/(1+σ) and label shares per source."""
-    sources = partials(scored(news, _since(news, as_of, days)), "source")
+    sources = summed(news, _since(news, as_of, days), "source")
     return (
         sources.filter(F.col("n") >= min_articles)
         .select(
@@ -191,7 +191,7 @@ def pairwise_difference(
     """Daily averages of two companies side by side, on days when both have news."""
     pair = _named(news, first, second)
     daily = with_company(
-        partials(scored(news, _since(news, as_of, days), pair), "company_id", _day()), pair
+        summed(news, _since(news, as_of, days), "company_id", _day(), companies=pair), pair
     )
 
     def side(name: str) -> Column:
@@ -221,7 +221,7 @@ def market_momentum(news: News, days: int = 14, as_of: AsOf = None) -> DataFrame
 
     The window has no partition: its input is one row per day of the look-back.
     """
-    daily = partials(scored(news, _since(news, as_of, days)), _day()).withColumn("avg_sentiment", average())
+    daily = summed(news, _since(news, as_of, days), _day()).withColumn("avg_sentiment", average())
     before = F.lag("avg_sentiment").over(Window.orderBy("date"))
     return (
         daily.withColumn("prev_day_sentiment", before)
@@ -283,9 +283,8 @@ def sector_outperformance(
 
 def time_patterns(news: News, days: int = 30, min_articles: int = 5, as_of: AsOf = None) -> DataFrame:
     """Sentiment by weekday and hour, with the trading session of the hour."""
-    facts = scored(news, _since(news, as_of, days))
-    cells = partials(
-        facts, weekday_name(F.col("published_at")).alias("day_of_week"),
+    cells = summed(
+        news, _since(news, as_of, days), weekday_name(F.col("published_at")).alias("day_of_week"),
         F.hour("published_at").alias("hour_of_day"),
     )
     hour = F.col("hour_of_day")
@@ -358,7 +357,7 @@ def recent_company_sentiment(news: News, days: int = 7, as_of: AsOf = None) -> D
 
 def daily_sector_trends(news: News, days: int = 30, as_of: AsOf = None) -> DataFrame:
     """Per day and sector: count, average, label counts."""
-    parts = partials(scored(news, _since(news, as_of, days)), "company_id", _day())
+    parts = summed(news, _since(news, as_of, days), "company_id", _day())
     return (
         rolled_up(with_company(parts, news.companies), "date", "sector")
         .select(

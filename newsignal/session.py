@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -64,6 +64,12 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         delete(spark, folder)
 
 
+def observed(df: DataFrame, **counts: Column) -> tuple[DataFrame, Observation]:
+    """``df`` with counts (the rows, and how many meet the given conditions) that come for free with the next write of it."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.count_if(c).alias(name) for name, c in counts.items())), seen
+
+
 def file_system(spark: SparkSession, path: str):
     """Hadoop file system and path object of a path."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
