@@ -20,9 +20,11 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,11 @@ from newsignal.session import durable
 
 #: Pairs that every worker gets: a few megabytes.
 HEAD = 200_000
+#: Parts of texts whose ids a worker keeps.
+MOST_PARTS = 500_000
+_BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Fixed value: where byte-level tokenizers part a text before they merge.
+PARTS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
 #: Steps of the scale of counts for each doubling, to find how many pairs the head may take.
 STEPS = 8
 
@@ -41,7 +48,7 @@ class ByteLevel:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -51,8 +58,24 @@ class ByteLevel:
         names = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
         self.bytes = [bytes(letters[c] for c in name) if all(c in letters for c in name) else name.encode() for name in names]
 
+        self.ids: dict[str, list[int]] = {}
+        splits = self.tokenizer.normalizer is None and isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel)
+        #: The tokenizer never merges across these parts, so each is asked for once.
+        self.part = regex.compile(PARTS) if splits else None
+
     def __call__(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        if self.part is None:
+            return self._asked([" " + t for t in texts])
+        cut = [self.part.findall(" " + t) for t in texts]
+        known = self.ids
+        if len(known) > MOST_PARTS:
+            known.clear()
+        new = list(set().union(*cut) - known.keys())
+        known.update(zip(new, self._asked(new)))
+        return [list(chain.from_iterable(map(known.__getitem__, parts))) for parts in cut]
+
+    def _asked(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class Pieces:

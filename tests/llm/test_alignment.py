@@ -13,6 +13,7 @@ from newsignal.llm import alignment
 from tokenizers import Tokenizer
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+SIDE = alignment.ByteLevel(A)
 
 
 def plain_groups(ends_a, ends_b):
@@ -35,6 +36,18 @@ def test_long_chains_end_at_the_last_token():
     assert (last_a == len(ends[1]) - 1).all() and (last_b == len(ends[1]) - 1).all()
 
 
+PIECES = ["'", "'s", "'ll", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u200b", "\u3000", "a", "Z", "é", "9", "½", "²", "!", "..", "日本",
+          "👍🏽", "́", "़", "<|endoftext|>", "_", "the", "\0", "\ufeff", "'S", "Ⅷ", "ª"]
+
+
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=20).map("".join) | st.text(max_size=30), min_size=1, max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_ids_by_parts_equal_the_library(texts):
+    library = Tokenizer.from_file(A)
+    library.encode_special_tokens = True
+    assert SIDE(texts) == [e.ids for e in library.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+
+
 def plain_tokens(text):
     """Ids of both sides with the end of each token in bytes, by decoding prefixes; None if a side does not give the text back."""
     if not text:
