@@ -29,6 +29,8 @@ from newsignal.llm.batches import small_batches
 LONGEST = 3
 CELL_BITS = 14
 CELLS = 1 << CELL_BITS
+#: Slices of the keys, as a power of two, by which the sample is cut down before it meets in one task.
+SLICE_BITS = 12
 SAMPLE = 2_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
@@ -136,13 +138,23 @@ def training_rows(docs: DataFrame) -> DataFrame:
     return docs.filter((fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
 
 
+def lowest(ids: DataFrame, label: str, sample: int) -> DataFrame:
+    """The rows that may be among the ``sample`` lowest keys of their label, and few others: all up to the slice of keys in which that
+    many are reached. The sizes of the slices are SLICES rows for each label, so no task sees the rows of a whole label."""
+    part = F.shiftright("key", 64 - SLICE_BITS).cast("int")
+    sizes = ids.groupBy(label, part.alias("slice")).agg(F.count(F.lit(1)).alias("rows"))
+    before = Window.partitionBy(label).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    needed = sizes.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0))).filter(F.col("before") < sample)
+    last = needed.groupBy(label).agg(F.max("slice").alias("last"))
+    return ids.join(F.broadcast(last), label).filter(part <= F.col("last")).drop("last")
+
+
 def sample_features(rows: DataFrame, sample: int = SAMPLE) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """(lang, cells, counts) of at most ``sample`` ids: first one of each language, then a second of each, … An id that
     repeats counts once, with its smallest language and text."""
-    order = Window.partitionBy("lang").orderBy("key", "doc_id")
     ids = rows.groupBy("doc_id").agg(F.min("lang").alias("lang")).withColumn("key", F.xxhash64("doc_id"))
-    ids = ids.withColumn("rank", F.row_number().over(order))
-    # No language has more than `sample` rows here, so each input task passes on a bounded number.
+    ids = lowest(ids, "lang", sample).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id")))
+    # No language has more than `sample` rows here.
     chosen = ids.filter(F.col("rank") <= sample).orderBy("rank", "key", "doc_id").limit(sample)
     chosen = F.broadcast(chosen.select("doc_id"))
 

@@ -40,6 +40,10 @@ from newsignal.session import durable, shared_dir
 DATA, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
 #: Records of one package at most; a task goes on with a further package.
 RECORDS = 20_000
+#: Packages whose indexes one task reads, bytes of packages that one task reads records from, and of a run of neighbours.
+PACKAGES = 4
+READ = 16_000_000
+RUN = 4_000_000
 
 # Fixed values of the ZIP format: signatures and the layout of the records that the reader needs.
 END, END64, LOCATOR64, CENTRAL, LOCAL = b"PK\5\6", b"PK\6\6", b"PK\6\7", b"PK\1\2", b"PK\3\4"
@@ -296,7 +300,10 @@ def archive(spark: SparkSession, pages: DataFrame, least: int = 0, when: str | N
     when = when or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     folder = shared_dir(spark, "packages")
     packages = write_packages(spark, with_revisits(pages, least), folder, when)
-    # A package's records go to several tasks, each with a run of neighbouring places.
-    places = durable(spark, locate(packages.repartition("path"), folder))
-    runs = places.repartition("path", (F.col("offset") / 4_000_000).cast("long")).sortWithinPartitions("path", "offset")
+    # A package's records go to several tasks, each with a run of neighbouring places. The places are small next to what is
+    # read for them, so the number of tasks comes from the packages, not from the size of the rows.
+    count, size = packages.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    places = durable(spark, locate(packages.repartition(-(-count // PACKAGES) or 1, "path"), folder))
+    tasks = -(-size // READ) or 1
+    runs = places.repartition(tasks, "path", (F.col("offset") / RUN).cast("long")).sortWithinPartitions("path", "offset")
     return read_records(runs, folder, payloads=False).drop("payload")

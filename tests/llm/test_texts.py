@@ -210,3 +210,12 @@ def test_a_repeated_id_is_sampled_once(spark, docs, prose):
     labels = table.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
     chosen = [[r.doc_id for r in toxicity._sampled(t, labels, {0: 50, 1: 50}).collect()] for t in (table, more)]
     assert sorted(chosen[0]) == sorted(chosen[1]) and len(set(chosen[1])) == len(chosen[1])
+
+
+def test_a_sample_is_cut_down_by_slices_and_stays_the_same(spark):
+    ids = spark.range(5_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 50 == 0, "rare").otherwise("usual").alias("lang"), F.xxhash64("id").alias("key"))
+    few = langid.lowest(ids, "lang", 60).collect()
+    for lang, most in (("rare", 100), ("usual", 80)):
+        every = sorted(r.key for r in ids.collect() if r.lang == lang)[:60]
+        held = sorted(r.key for r in few if r.lang == lang)
+        assert held[: len(every)] == every and len(held) <= most
