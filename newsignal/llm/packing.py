@@ -43,8 +43,10 @@ SWEEPS = 60
 END_ID = 2
 #: Words whose ids a worker keeps.
 MOST_WORDS = 1_000_000
-#: Rows whose new words are asked for together.
+#: Rows whose new words are looked up together, and words of one call of the library.
 PART = 512
+TOGETHER = 1_000
+WORD_END = "</w>"
 
 
 class WordIds(dict):
@@ -58,6 +60,8 @@ class WordIds(dict):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith(WORD_END) for i in range(size)])
 
     @staticmethod
     def _parts(word: str) -> list[str]:
@@ -71,12 +75,32 @@ class WordIds(dict):
         """Takes up all words that are not known yet."""
         if len(self) + len(words) > MOST_WORDS:
             self.clear()
-        new = [(word, self._parts(word)) for word in words if word not in self]
-        asked = list({part for _, parts in new for part in parts} - self.keys())
-        for part, found in zip(asked, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)):
-            self[part] = array("I", found.ids).tobytes()
-        for word, parts in new:
-            self[word] = b"".join([self[part] for part in parts])
+        new = words - self.keys()
+        plain = {word for word in new if word.isalpha() and word.isascii() and word.islower()}  # letters only, one piece each
+        others = [(word, self._parts(word)) for word in new - plain]
+        asked = {part for _, parts in others for part in parts} - self.keys() - plain
+        plain.update(part for part in asked if part.isalpha() and part.lower().isalpha())
+        together = list(plain)
+        for first in range(0, len(together), TOGETHER):
+            self._ask_together(together[first : first + TOGETHER])
+        self._ask(list(asked - plain))
+        for word, parts in others:
+            if len(parts) > 1 or parts[0] != word:
+                self[word] = b"".join([self[part] for part in parts])
+
+    def _ask(self, words: list[str]) -> None:
+        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            self[word] = array("I", found.ids).tobytes()
+
+    def _ask_together(self, words: list[str]) -> None:
+        """Words of letters only are one piece of a text each, so each ends at the next id that ends a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+        if len(ends) != len(words):
+            self._ask(words)
+            return
+        flat, ends = ids.tobytes(), ends.tolist()
+        self.update(zip(words, (flat[a:b] for a, b in zip([0, *ends], ends))))
 
     def of(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
