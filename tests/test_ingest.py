@@ -180,3 +180,21 @@ def test_linking_runs_no_python_and_takes_an_empty_list(spark):
     keywords = spark.range(0).select(F.lit("x").alias("term"))
     got = linking.contained_keywords(docs, F.col("text"), keywords, "term")
     assert got.count() == 0 and "Python" not in got._jdf.queryExecution().toString()
+
+
+def test_strict_linking_of_few_and_of_many_phrases(spark):
+    companies = spark.createDataFrame(
+        [(i, i, n, s) for i, (n, s) in enumerate([("ab cd", "gh"), ("cd ef ab inc", "ab"), ("ef", "cd.gh"), ("gh gh", None)])],
+        "id int, ordinal int, name string, symbol string")
+    texts = ["ab-cd", "x cd. EF ab", "abcd ef", "gh gh gh", "cd gh", "cdgh", "", None, "ab ab cd", "ab ab cd"]
+    expected = [(0, 0), (1, 1), (2, 2), (3, 3), (4, 0), (8, 0), (9, 0)]
+    df = spark.createDataFrame([(i, "", t, None, "") for i, t in enumerate(texts)],
+                               "i int, company_search_term string, title string, description string, content string")
+    few = linking.link_companies_strict(df, companies)
+    assert "explode(phrase" not in (plan := few._jdf.queryExecution().toString()) and "xxhash64" not in plan  # texts are not keyed, placed and joined
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(linking, "DIRECT", 0)
+        many = linking.link_companies_strict(df, companies)
+        assert "xxhash64" in many._jdf.queryExecution().toString()
+    for linked in (few, many):
+        assert sorted((r.i, r.company_id) for r in linked.collect()) == expected
