@@ -1,3 +1,5 @@
+import random
+from collections import Counter
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -129,3 +131,23 @@ def test_scores_stay_in_range(spark, lexicon, texts):
     for r in result:
         assert -1 <= r.sentiment_score <= 1 and 0 <= r.confidence <= 1
         assert r.sentiment_label in ("positive", "negative", "neutral")
+
+
+def test_key_phrases_are_counted_within_the_row(spark):
+    rng = random.Random(3)
+    rows = [(i % 25 if i < 30 else None, " ".join(rng.choices(["ab", "cd", "the", "ef"], k=rng.randint(0, 40))) if i % 7 else None) for i in range(33)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    expected = []
+    for key in {k for k, _ in rows}:
+        n = Counter()
+        for t in (t.split() for k, t in rows if k == key and t):
+            for size in (2, 3, 4):
+                n.update(" ".join(run) for i in range(len(t) - size + 1) if "the" not in (run := t[i : i + size]))
+        first = sorted(n.items(), key=lambda x: (-x[1], x[0]))[:3]
+        expected += [(key, i, p, c) for i, (p, c) in enumerate(first, 1)]
+    found = scoring.key_phrases(df, num_phrases=3, stop_words=["the"])
+    got = [(r.id, r["rank"], r.phrase, r.n) for r in found.collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    # A text without repeats of its id passes on three phrases, not all of them.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("_counts") < plan.index("Window [count")
