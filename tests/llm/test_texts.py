@@ -219,3 +219,26 @@ def test_a_sample_is_cut_down_by_slices_and_stays_the_same(spark):
         every = sorted(r.key for r in ids.collect() if r.lang == lang)[:60]
         held = sorted(r.key for r in few if r.lang == lang)
         assert held[: len(every)] == every and len(held) <= most
+
+
+def test_toxicity_is_learned_from_all_rows(spark, docs, prose):
+    """The network starts from 12 rows; the words of the others, languages and thresholds come from the rest, in several shards."""
+    rows, labels = toxic_rows(prose)
+    table = spark.createDataFrame([(i, 1, t) for i, _, t in labels], "doc_id bigint, quality int, toxic int")
+    few = {1: 6, 0: 6}
+    start, whole = (toxicity.train(docs(rows), table, few, shard=70, rounds=n) for n in (0, 10))
+    assert (start.table != whole.table).any(axis=1).mean() > 0.9 and (start.weights != whole.weights).any()
+    assert whole.languages == ["aa", "bb", "cc"]
+    truth = {i: t for i, _, t in labels}
+
+    def errors(model):
+        found = toxicity.score(docs(rows).filter(toxicity.fold(F.col("doc_id")) == 2), model).collect()
+        return sum((r.score >= toxicity.THRESHOLD) != truth[r.doc_id] for r in found) / len(found)
+
+    assert errors(whole) < 0.1 and errors(whole) < errors(start)
+
+
+def test_a_threshold_counts_all_rows():
+    logits, toxic, rows = np.array([2.0, 1.0, 0.0]), np.array([3, 5, 1]), np.array([3, 6, 90])
+    assert toxicity._best_threshold(logits, toxic, rows) == 0.5
+    assert toxicity._best_threshold(logits, 0 * toxic, rows) is None
