@@ -13,7 +13,7 @@ from newsignal.model import SCORE_TYPE, News, stable_id
 from newsignal.operators import store
 from newsignal.operators.integrity import violations
 from newsignal.operators.keyindex import KeyIndex
-from newsignal.session import shared_dir
+from newsignal.session import durable, shared_dir
 
 KEEP_DAYS = 15
 _SEEN = ["fetched_at", "company_search_term", "ordinal"]
@@ -33,7 +33,7 @@ def _labelled_articles(s: SparkSession, d: str) -> DataFrame:
 
 def _indexed_articles(s: SparkSession, d: str) -> KeyIndex:
     """A key index of the same articles: one base, and what a second batch adds."""
-    known = _labelled_articles(s, d)
+    known = durable(s, _labelled_articles(s, d))
     index = KeyIndex(s, shared_dir(s, "keys"), known.schema, ("url",), rows=200)
     index.rebuild(known.join(_of_good_documents(s, d), "url", "left_semi"))
     index.add(index.unseen(known))
@@ -46,12 +46,13 @@ def _of_good_documents(s: SparkSession, d: str) -> DataFrame:
 
 
 def _indexed_new_articles(s: SparkSession, d: str) -> DataFrame:
-    firsts = store.first_per_key(normalized(s, d), ["url"], _SEEN)
+    articles = normalized(s, d).select("url", "doc_id", *_SEEN)
+    firsts = durable(s, store.first_per_key(articles, ["url"], _SEEN))
     return _indexed_articles(s, d).unseen(firsts).select("url", "doc_id", "company_search_term")
 
 
 def _indexed_ids(s: SparkSession, d: str) -> DataFrame:
-    urls = _urls(s, d)
+    urls = durable(s, _urls(s, d))
     return store.ids_of(urls, _indexed_articles(s, d).lookup(urls), "url")
 
 
