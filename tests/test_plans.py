@@ -120,3 +120,30 @@ def test_sql_functions_prune_both_facts(spark, news, tmp_path):
 def test_rows_without_a_word_are_spread(spark, no_broadcast):
     df = scoring.score_methods(texts.documents(spark, DATA), texts.lexicon(spark).hint("merge"), lists=texts.LISTS)
     assert df.count() > 0
+
+
+def test_what_lands_is_not_written_or_read_by_one_task(spark, no_broadcast, tmp_path, monkeypatch):
+    """Parts of the event stream land as their tasks made them; a batch of payloads has as many files as the documents have parts."""
+    from newsignal.contract import runs
+
+    class Done(Exception):
+        pass
+
+    def stop(*args, **kwargs):
+        seen.update(kwargs)
+        raise Done
+
+    seen: dict = {}
+    monkeypatch.setattr(runs, "shared_dir", lambda s, purpose: f"{tmp_path}/{purpose}")
+    monkeypatch.setattr(runs.trends, "write_closed_trends", stop)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with pytest.raises(Done):
+            runs._closed(spark, DATA)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(spark.read.parquet(f"{tmp_path}/landed/0").inputFiles()) > 1
+    monkeypatch.setattr(runs, "stream_payloads", stop)
+    with pytest.raises(Done):
+        runs._stream_ingest(spark, DATA)
+    assert seen["files_per_batch"] >= spark.sparkContext.defaultParallelism > 1
