@@ -20,9 +20,11 @@ gives an empty result.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -47,6 +49,8 @@ MOST_WORDS = 1_000_000
 PART = 512
 TOGETHER = 1_000
 WORD_END = "</w>"
+#: Marks that are no letters, digits or blanks.
+MARKS = "".join(set(string.punctuation) - {"<"})
 
 
 class WordIds(dict):
@@ -61,26 +65,40 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
+        # The model alone cuts words of ASCII letters in lower case, unless an added token may lie within them.
+        self.letters_alone = not any(token.content.isalpha() for token in self.tokenizer.get_added_tokens_decoder().values())
         self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith(WORD_END) for i in range(size)])
 
     @staticmethod
     def _parts(word: str) -> list[str]:
-        """What the library is asked for: words in lower case, which it puts all in, without the stop or comma that it parts from letters."""
-        plain = word.lower() if word.isascii() and "<" not in word else word
-        if plain[-1:] in (".", ",") and plain[-2:-1].lower().isalpha():
-            return [plain[:-1], plain[-1]]
+        """What the library is asked for: words in lower case, which it puts all in, without the marks at the end that it parts from letters."""
+        if "<" in word:  # a special token, perhaps
+            return [word]
+        plain = word.lower() if word.isascii() else word
+        head = plain.rstrip(MARKS)
+        if len(head) < len(plain) and head[-1:].lower().isalpha():
+            return [head, plain[len(head):]]
         return [plain]
 
+    def _unknown(self, words: set[str]) -> set[str]:
+        """Looks up each of the words; ``words - self.keys()`` would go through all that is known, for every few rows."""
+        return set(filterfalse(self.__contains__, words))
+
     def learn(self, words: set[str]) -> None:
         """Takes up all words that are not known yet."""
-        if len(self) + len(words) > MOST_WORDS:
+        new = self._unknown(words)
+        if len(self) + len(new) > MOST_WORDS:
             self.clear()
-        new = words - self.keys()
-        plain = {word for word in new if word.isalpha() and word.isascii() and word.islower()}  # letters only, one piece each
+            new = words
+        plain = {word for word in new if word.isascii() and word.islower() and word.isalpha()}  # letters only, one piece each
         others = [(word, self._parts(word)) for word in new - plain]
-        asked = {part for _, parts in others for part in parts} - self.keys() - plain
-        plain.update(part for part in asked if part.isalpha() and part.lower().isalpha())
-        together = list(plain)
+        asked = self._unknown({part for _, parts in others for part in parts}) - plain
+        plain.update([part for part in asked if part.isalpha() and part.lower().isalpha()])
+        direct = {word for word in plain if word.isascii()} if self.letters_alone else set()
+        model = self.tokenizer.model
+        for word in direct:
+            self[word] = array("I", [piece.id for piece in model.tokenize(word)]).tobytes()
+        together = list(plain - direct)
         for first in range(0, len(together), TOGETHER):
             self._ask_together(together[first : first + TOGETHER])
         self._ask(list(asked - plain))
