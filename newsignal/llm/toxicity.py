@@ -20,6 +20,7 @@ empty result.
 from __future__ import annotations
 
 import copy
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsignal.functions.bits import bit_table, may_hold
 from newsignal.llm.batches import small_batches
 from newsignal.llm.hashing import PUNCTUATION, TextWords, in_chunks, span_hashes
 from newsignal.llm.langid import fold, lowest
@@ -44,6 +46,10 @@ WIDTH, FILTERS, SPANS = 16, 16, (1, 2, 3)
 SAMPLE = {1: 1_500, 0: 3_000}
 #: Rows of a task that goes on from there, and how often the networks of all tasks are averaged.
 SHARD, ROUNDS = 4_500, 2
+#: Rows of the table that are averaged together.
+BLOCK = 1 << 12
+#: Bits that tell apart texts without a label before they are shuffled: two megabytes.
+BITS = 1 << 24
 EPOCHS, BATCH, RATE, DECAY = 6, 32, 0.05, 1e-4
 #: A word is left out of a training step with this probability.
 DROPPED = 0.1
@@ -206,35 +212,76 @@ def _set_dense(model: Model, past: dict, values: np.ndarray) -> None:
     model.bias, past["bias"] = float(values[ends[-1]]), float(values[ends[-1] + 1])
 
 
+def _pressed(full: np.ndarray, stem: np.ndarray) -> bytes:
+    """The numbers of a text's words."""
+    return zlib.compress(full.tobytes() + stem.tobytes(), 1)
+
+
+def _unpressed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    numbers = np.frombuffer(zlib.decompress(raw), np.int32)
+    return numbers[: len(numbers) // 2], numbers[len(numbers) // 2 :]
+
+
 def _averaged(model: Model, past: dict, rows: DataFrame, shards: int) -> None:
     """One round over all rows: each shard's task goes on from the network, which then becomes the mean of theirs. A row of the table is
-    the mean over the shards that have its words. What is summed has a row for each row of the table and some for the rest."""
+    the mean over the shards that have its words: a shard names the rows it has, and gives the steps of those that it moved. They are
+    added up in blocks of ``BLOCK`` rows; block -1 is the rest of the network."""
     width = WIDTH + 1
-    names = [f"v{i}" for i in range(width)]
+    schema = "block int, weight double, held binary, slots binary, steps binary"
+
+    def made(block: int, weight: float = 0.0, held: bytes = b"", slots: bytes = b"", steps: bytes = b"") -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({
+            "block": pa.array([block], pa.int32()), "weight": pa.array([weight], pa.float64()),
+            "held": pa.array([held], pa.binary()), "slots": pa.array([slots], pa.binary()), "steps": pa.array([steps], pa.binary())})
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = sorted(row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("key", "toxic", "full", "stem"))))
+        found = sorted(row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("key", "toxic", "words"))))
         if not found:
             return
-        sample = [(toxic, np.frombuffer(full, np.int32), np.frombuffer(stem, np.int32)) for _, toxic, full, stem in found]
+        sample = [(toxic, *_unpressed(words)) for _, toxic, words in found]
         net, squares = copy.deepcopy((model, past))
         _go_on(net, squares, sample, 1, np.random.default_rng(abs(found[0][0])))
-        own = np.setdiff1d(net.slots[np.unique(np.concatenate([x for _, full, stem in sample for x in (full, stem)]))], [0])
-        rest = _dense(net, squares)
-        rest = np.concatenate([rest, np.zeros(-len(rest) % width)]).reshape(-1, width)
-        values = np.vstack([rest, np.column_stack([net.table[own], squares["table"][own]])])
-        weight = np.concatenate([np.full(len(rest), len(sample), float), np.ones(len(own))])
-        slot = np.concatenate([-1 - np.arange(len(rest)), own])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(slot, pa.int32()), pa.array(weight), *(pa.array(values[:, i] * weight) for i in range(width))], ["slot", "weight", *names])
-
-    learned = rows.repartition(shards, "key").mapInArrow(learn, ", ".join(["slot int", *(f"{c} double" for c in ("weight", *names))]))
-    sums = learned.groupBy("slot").agg(*(F.sum(c).alias(c) for c in ("weight", *names))).orderBy(F.desc("slot")).toArrow()
-    slot = sums["slot"].to_numpy()
-    means = np.column_stack([sums[c].to_numpy() for c in names]) / sums["weight"].to_numpy()[:, None]
-    own = slot > 0
-    model.table[slot[own]], past["table"][slot[own]] = means[own, :WIDTH], means[own, WIDTH]
-    _set_dense(model, past, means[slot < 0].ravel())
+        yield made(-1, len(sample), steps=(_dense(net, squares) * len(sample)).tobytes())
+        own = np.zeros(len(net.table), bool)
+        own[net.slots[np.unique(np.concatenate([x for _, full, stem in sample for x in (full, stem)]))]] = True
+        own[0] = False
+        steps = np.column_stack([net.table - model.table, squares["table"] - past["table"]]).astype(np.float32)
+        for block, first in enumerate(range(0, len(own), BLOCK)):
+            part = steps[first : first + BLOCK]
+            moved = np.flatnonzero(own[first : first + BLOCK] & part.any(axis=1)).astype(np.int32)
+            yield made(block, 0.0, np.packbits(own[first : first + BLOCK]).tobytes(), moved.tobytes(), part[moved].tobytes())
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights: dict[int, float] = {}
+        sums: dict[int, np.ndarray] = {}
+        times: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, weight, held, slots, steps in zip(*(batch.column(c).to_pylist() for c in batch.schema.names)):
+                if block < 0:
+                    weights[block] = weights.get(block, 0.0) + weight
+                    sums[block] = sums.get(block, 0.0) + np.frombuffer(steps)
+                    continue
+                total = sums.setdefault(block, np.zeros((BLOCK, width)))
+                total[np.frombuffer(slots, np.int32)] += np.frombuffer(steps, np.float32).reshape(-1, width)
+                count = times.setdefault(block, np.zeros(BLOCK, np.int64))
+                bits = np.unpackbits(np.frombuffer(held, np.uint8))
+                count[: len(bits)] += bits
+        for block, total in sums.items():
+            if block < 0:
+                yield made(block, steps=(total / weights[block]).tobytes())
+            else:
+                moved = np.flatnonzero(total.any(axis=1)).astype(np.int32)
+                yield made(block, slots=moved.tobytes(), steps=(total[moved] / times[block][moved, None]).astype(np.float32).tobytes())
+
+    learned = rows.repartition(shards, "key").mapInArrow(learn, schema)
+    means = learned.repartition("block").mapInArrow(add, schema).toArrow()
+    for block, slots, steps in zip(*(means.column(c) for c in ("block", "slots", "steps"))):
+        if block.as_py() < 0:
+            _set_dense(model, past, np.frombuffer(steps.as_py()).copy())
+            continue
+        at, step = np.frombuffer(slots.as_py(), np.int32) + block.as_py() * BLOCK, np.frombuffer(steps.as_py(), np.float32).reshape(-1, width)
+        model.table[at] += step[:, :WIDTH]
+        past["table"][at] += step[:, WIDTH]
 
 
 def _best_threshold(logits: np.ndarray, toxic: np.ndarray, rows: np.ndarray) -> float | None:
@@ -260,6 +307,13 @@ def _texts(docs: DataFrame, marks: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "toxic").agg(F.min(F.struct("lang", "text")).alias("row")).select("doc_id", "toxic", "row.*")
 
 
+def _maybe_marked(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The documents without most of those that have no mark, told by bits of the ids where they are read."""
+    if docs.schema["doc_id"].dataType != marks.schema["doc_id"].dataType:  # equal ids have other hashes
+        return docs
+    return docs.filter(may_hold(bit_table(marks, "doc_id", BITS).scalar(), F.col("doc_id"), BITS))
+
+
 def _sampled(docs: DataFrame, labels: DataFrame, sample: dict[int, int]) -> DataFrame:
     """toxic, lang and text of the rows to start from: for each label those first in the order of a hash of their id."""
     marks = _marks(labels)
@@ -274,15 +328,16 @@ def _numbered(texts: DataFrame) -> DataFrame:
     """key, toxic, lang and the numbers of the words."""
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                words = Words([batch.column("text")[i].as_py()])
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("key").slice(i, 1), batch.column("toxic").slice(i, 1), batch.column("lang").slice(i, 1),
-                    pa.array([words.full.tobytes()], pa.binary()), pa.array([words.stem.tobytes()], pa.binary()),
-                ], ["key", "toxic", "lang", "full", "stem"])
+            place = 0
+            for chunk in in_chunks(t.as_py().encode() for t in batch.column("text")):
+                words = Words([t.decode() for t in chunk])
+                pressed = [_pressed(words.full[a:b], words.stem[a:b]) for a, b in zip(words.bounds, words.bounds[1:])]
+                rest = [batch.column(c).slice(place, len(chunk)) for c in ("key", "toxic", "lang")]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(pressed, pa.binary())], ["key", "toxic", "lang", "words"])
+                place += len(chunk)
 
     picked = texts.select(F.xxhash64("doc_id").alias("key"), F.col("toxic").cast("int"), F.col("lang").cast("string"), "text")
-    return picked.mapInArrow(numbered, "key bigint, toxic int, lang string, full binary, stem binary")
+    return picked.mapInArrow(numbered, "key bigint, toxic int, lang string, words binary")
 
 
 def _tallies(rows: DataFrame, languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -290,8 +345,8 @@ def _tallies(rows: DataFrame, languages: list[str]) -> tuple[np.ndarray, np.ndar
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, cells = np.zeros(1 << ROW_BITS, np.int64), np.zeros((len(languages), GUESS_CELLS), np.int64)
         for batch in batches:
-            for aside, lang, full, stem in zip(*(batch.column(c).to_pylist() for c in ("aside", "lang", "full", "stem"))):
-                full, stem = np.frombuffer(full, np.int32), np.frombuffer(stem, np.int32)
+            for aside, lang, words in zip(*(batch.column(c).to_pylist() for c in ("aside", "lang", "words"))):
+                full, stem = _unpressed(words)
                 if not aside:
                     held[np.union1d(full, stem)] += 1
                 if lang is not None:
@@ -313,9 +368,9 @@ def _thresholds(rows: DataFrame, model: Model) -> np.ndarray:
     """The threshold of each language, from how many of the rows have each logit."""
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for toxic, full, stem in zip(*(batch.column(c).to_pylist() for c in ("toxic", "full", "stem"))):
+            for toxic, pressed in zip(*(batch.column(c).to_pylist() for c in ("toxic", "words"))):
                 words = Words.__new__(Words)
-                words.full, words.stem = np.frombuffer(full, np.int32), np.frombuffer(stem, np.int32)
+                words.full, words.stem = _unpressed(pressed)
                 words.bounds = np.array([0, len(words.full)])
                 place = np.rint(np.clip(model.logits(words), -60, 60) * STEPS).astype(int)
                 yield pa.RecordBatch.from_arrays([
@@ -339,15 +394,16 @@ def train(
     small_batches(docs.sparkSession)
     aside = F.pmod("key", F.lit(5)) == 4
     with scratch(docs.sparkSession) as keep:
-        rows = keep(_numbered(_texts(docs, _marks(labels))).withColumn("aside", aside))
+        marks = _marks(labels)
+        rows = keep(_numbered(_texts(_maybe_marked(docs, marks), marks)).withColumn("aside", aside))
         sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
         if len(sizes) < 2:
             return None
         languages = sorted(r.lang for r in rows.select("lang").filter("lang is not null").distinct().collect()) or [""]
         held, cells = _tallies(rows, languages)
         found = _numbered(_sampled(docs, labels, sample)).filter(~aside).collect()
-        found.sort(key=lambda r: (r.key, r.toxic, r.lang or "", bytes(r.full)))
-        first = [(r.toxic, np.frombuffer(r.full, np.int32), np.frombuffer(r.stem, np.int32)) for r in found]
+        unpressed = sorted(((r.key, r.toxic, r.lang or "", *_unpressed(r.words)) for r in found), key=lambda r: (*r[:3], r[3].tobytes()))
+        first = [(toxic, full, stem) for _, toxic, _, full, stem in unpressed]
         model, past = _learn(first, epochs, held)
         if any(n > sample[toxic] for toxic, n in sizes.items()):
             for _ in range(rounds):

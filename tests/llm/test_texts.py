@@ -1,3 +1,4 @@
+import copy
 import re
 from collections import defaultdict
 
@@ -242,3 +243,49 @@ def test_a_threshold_counts_all_rows():
     logits, toxic, rows = np.array([2.0, 1.0, 0.0]), np.array([3, 5, 1]), np.array([3, 6, 90])
     assert toxicity._best_threshold(logits, toxic, rows) == 0.5
     assert toxicity._best_threshold(logits, 0 * toxic, rows) is None
+
+
+def test_what_the_network_learns_from_is_small_where_it_is_shuffled(spark, docs, prose):
+    """Word numbers are pressed, and of the texts without a label few go on to the join."""
+    table = docs([(i, prose(i, 400)) for i in range(200)])
+    marks = spark.range(40).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    assert 40 <= toxicity._maybe_marked(table, marks).count() < 60
+    rows = toxicity._numbered(toxicity._texts(toxicity._maybe_marked(table, marks), marks)).collect()
+    texts = {r.key: r.text for r in table.select(F.xxhash64("doc_id").alias("key"), "text").collect()}
+    assert len(rows) == 40
+    for r in rows:
+        words, (full, stem) = toxicity.Words([texts[r.key]]), toxicity._unpressed(r.words)
+        assert full.tolist() == words.full.tolist() and stem.tolist() == words.stem.tolist()
+    assert sum(len(r.words) for r in rows) < 0.8 * sum(8 * len(toxicity._unpressed(r.words)[0]) for r in rows)
+
+
+def test_networks_of_shards_are_averaged_over_the_shards_with_a_word(spark):
+    """Two shards go on from one network; a row of the table that one of them holds is that one's, others are the mean."""
+    texts = [(k, k % 2, f"word{k % 3} {'left' if k < 40 else 'right'} both") for k in range(80)]
+    rows = toxicity._numbered(spark.createDataFrame([(k, t, "xx", x) for k, t, x in texts], "doc_id bigint, toxic int, lang string, text string"))
+    found = sorted((r.key, r.toxic, *toxicity._unpressed(r.words)) for r in rows.repartition(1).collect())
+    held = np.full(1 << toxicity.ROW_BITS, toxicity.LEAST_ROWS)
+    model, past = toxicity._learn([x[1:] for x in found[:8]], 1, held)
+    parts = [sorted((r[0], r[1], *toxicity._unpressed(r[2])) for r in part) for part in rows.repartition(2, "key").select("key", "toxic", "words").rdd.map(tuple).glom().collect()]
+    nets = []
+    for part in parts:
+        net, squares = copy.deepcopy((model, past))
+        toxicity._go_on(net, squares, [x[1:] for x in part], 1, np.random.default_rng(abs(part[0][0])))
+        nets.append((net, squares, {int(s) for x in part for y in x[2:] for s in net.slots[y]} - {0}))
+    before = model.table.copy()
+    toxicity._averaged(model, past, rows, 2)
+    for slot in set().union(*(own for _, _, own in nets)):
+        mean = np.mean([net.table[slot] for net, _, own in nets if slot in own], axis=0)
+        assert np.allclose(model.table[slot], mean, atol=1e-5)
+    share = len(parts[0]) / len(texts)
+    assert np.allclose(model.weights, share * nets[0][0].weights + (1 - share) * nets[1][0].weights, atol=1e-5)
+    others = sorted(set(range(0, len(before), 997)) - set().union(*(own for _, _, own in nets)))
+    assert (model.table[others] == before[others]).all()
+
+
+def test_bits_reach_the_driver_without_an_object_for_each_word(spark, monkeypatch):
+    keys = spark.range(3_000).select(F.xxhash64("id").alias("own"))
+    members = np.array([r.own for r in keys.collect()], np.int64).view(np.uint64)
+    monkeypatch.setattr(type(keys), "collect", lambda _: pytest.fail("collected as objects"))
+    bitmap = jaccard.Bitmap(keys, "own")
+    assert bitmap.has(members).all() and not bitmap.has(members ^ np.uint64(1 << 20)).all()
