@@ -109,8 +109,8 @@ class Bitmap:
         bits = keys.groupBy(F.shiftright(place, 5).cast("int").alias("word")).agg(
             F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 31 as int))")).alias("bits"))
         self.words = np.zeros(BITS >> 5, np.uint32)
-        for word, value in bits.collect():  # BITS / 32 rows at most
-            self.words[word] = value
+        found = bits.toArrow()  # BITS / 32 rows at most, as two arrays: as objects they would take some hundred megabytes
+        self.words[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
 
     def __contains__(self, key: int) -> bool:
         return bool(self.has(np.array([key], np.int64).view(np.uint64))[0])
