@@ -20,6 +20,7 @@ gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import string
 import zlib
 from array import array
@@ -29,11 +30,13 @@ from itertools import filterfalse
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from tokenizers import Tokenizer
 
+from newsignal.llm.batches import small_batches
 from newsignal.session import durable
 
 WINDOW = 4096
@@ -43,14 +46,16 @@ DEPTH = 3
 SALTS = 64
 SWEEPS = 60
 END_ID = 2
-#: Words whose ids a worker keeps.
-MOST_WORDS = 1_000_000
+#: Words whose ids a worker keeps: some 60 MB.
+MOST_WORDS = 250_000
 #: Rows whose new words are looked up together, and words of one call of the library.
 PART = 512
 TOGETHER = 1_000
 WORD_END = "</w>"
 #: Marks that are no letters, digits or blanks.
 MARKS = "".join(set(string.punctuation) - {"<"})
+#: Marks that end a word of letters; the tokenizer parts them from it.
+END_MARKS = re.compile(rf"[{re.escape(MARKS)}](?<=[A-Za-zªµºÀ-ÖØ-öø-ÿ].)[{re.escape(MARKS)}]*(?=\s|\Z)")
 
 
 class WordIds(dict):
@@ -87,9 +92,6 @@ class WordIds(dict):
     def learn(self, words: set[str]) -> None:
         """Takes up all words that are not known yet."""
         new = self._unknown(words)
-        if len(self) + len(new) > MOST_WORDS:
-            self.clear()
-            new = words
         plain = {word for word in new if word.isascii() and word.islower() and word.isalpha()}  # letters only, one piece each
         others = [(word, self._parts(word)) for word in new - plain]
         asked = self._unknown({part for _, parts in others for part in parts}) - plain
@@ -120,11 +122,38 @@ class WordIds(dict):
         flat, ends = ids.tobytes(), ends.tolist()
         self.update(zip(words, (flat[a:b] for a, b in zip([0, *ends], ends))))
 
+    @staticmethod
+    def _plain(text: str) -> str:
+        """The text with the same ids and few different words: marks at the end stand alone, Latin letters are in lower case."""
+        if "<" in text:  # a special token, perhaps
+            return text.replace("\n", " ")
+        try:
+            text.encode("latin-1")
+            text = text.lower()  # letter by letter, as the tokenizer does; other scripts have letters that depend on their neighbours
+        except UnicodeEncodeError:
+            pass
+        return END_MARKS.sub(r" \g<0>", text).replace("\n", " ")
+
     def of(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text."""
-        cut = [text.replace("\n", " ").split(" ") for text in texts]
-        self.learn(set().union(*cut))
-        return [b"".join(map(self.__getitem__, words)) for words in cut]
+        """Ids of each text: every different word is looked up once, its ids are copied to all its places."""
+        cut = pc.split_pattern(pa.array(map(self._plain, texts), pa.large_string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = list(map(self.get, words))
+        new = {word for word, ids in zip(words, known) if ids is None}
+        if len(self) + len(new) > MOST_WORDS:  # those of these texts stay
+            self.clear()
+            self.update((word, ids) for word, ids in zip(words, known) if ids is not None)
+        self.learn(new)
+        known = [self[word] if ids is None else ids for word, ids in zip(words, known)]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        firsts, places = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        counts = sizes[places]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        shift = np.repeat(firsts[places] - ends[:-1], counts)
+        ids = np.frombuffer(b"".join(known), "<u4")[shift + np.arange(len(shift))]
+        bounds = ends[cut.offsets.to_numpy()]
+        return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
 
 
 _words: dict[str, WordIds] = {}
@@ -142,6 +171,8 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
     """doc_id, doc_tokens and the checksums of prefixes (unsigned, in signed 64-bit numbers)."""
     end = np.array([end_id], "<u4").tobytes()
 
+    small_batches(docs.sparkSession)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words.setdefault(tokenizer, None) or WordIds(tokenizer)
         _words[tokenizer] = words

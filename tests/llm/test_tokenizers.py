@@ -40,6 +40,20 @@ def test_words_are_forgotten_and_learned_again(monkeypatch):
         assert [np.frombuffer(ids, "<u4").tolist() for ids in few.of(some)] == [e.ids for e in word_library.encode_batch(some, add_special_tokens=False)]
 
 
+def test_words_differ_neither_by_capitals_nor_by_marks_at_the_end(monkeypatch):
+    """What a worker keeps grows with the words of letters, and stays under its limit."""
+    some = ["Word, word. WORD! (word) Été, été; été", "Été\u0301, word.\x1c ª? 9. a'. it's, <|endoftext|>. Word,\nΣ. word\t,"]
+    few = packing.WordIds(WORDS)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in few.of(some)] == [e.ids for e in word_library.encode_batch(some, add_special_tokens=False)]
+    few.clear()
+    few.of(some[:1])
+    assert {word for word in few if word.lower().strip(packing.MARKS) in ("word", "été")} == {"word", "(word", "été"}
+    monkeypatch.setattr(packing, "MOST_WORDS", 40)
+    for i in range(20):
+        few.of([" ".join("qzxjv"[(i * k) % 5] * (k + 1) for k in range(8)) + f" a{i} b{i},"])
+        assert len(few) <= 80
+
+
 @settings(max_examples=300, deadline=None)
 @given(texts)
 def test_pieces_equal_the_library_and_decode(text):
