@@ -259,6 +259,28 @@ def test_what_the_network_learns_from_is_small_where_it_is_shuffled(spark, docs,
     assert sum(len(r.words) for r in rows) < 0.8 * sum(8 * len(toxicity._unpressed(r.words)[0]) for r in rows)
 
 
+def test_each_labelled_text_is_shuffled_once_to_its_shard(spark, docs, prose):
+    """Rounds read shards as they are: no row is shuffled again, and the networks are those of rows dealt out by key."""
+    table = docs([(i, None if i % 11 == 0 else prose(i % 90, 20), "xx") for i in range(100)] + [(7, "a", None), (None, "b", "xx")])
+    marks = spark.createDataFrame([(i, i % 2) for i in range(0, 120, 2)] + [(7, 1), (9, 0)], "doc_id bigint, toxic int")
+    single = toxicity._numbered(toxicity._texts(table, marks))
+    shards = toxicity._sharded(table, marks, 3)
+    plan = shards._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(key#") == plan.count("REPARTITION_BY_NUM") == 1
+    found = shards.collect()
+    assert sorted(r.aside for r in found) == [False] * 3 + [True] * 3
+    assert all((key % 5 == 4) == r.aside for r in found for key in r.key)
+    rows = [(*x[:3], bytes(x[3])) for r in found for x in zip(r.key, r.toxic, r.lang, r.words)]
+    assert sorted(map(repr, rows)) == sorted(repr((r.key, r.toxic, r.lang, bytes(r.words))) for r in single.collect())
+    nets = []
+    for given in ((single.filter("pmod(key, 5) <> 4"), 3), (shards.filter("not aside"),)):
+        sample = sorted((key, toxic, *toxicity._unpressed(words)) for key, toxic, _, words in rows)
+        model, past = toxicity._learn([x[1:] for x in sample[:8]], 1, np.full(1 << toxicity.ROW_BITS, toxicity.LEAST_ROWS))
+        toxicity._averaged(model, past, *given)
+        nets.append(model)
+    assert np.allclose(nets[0].table, nets[1].table, atol=1e-6) and np.allclose(nets[0].weights, nets[1].weights, atol=1e-6)
+
+
 def test_networks_of_shards_are_averaged_over_the_shards_with_a_word(spark):
     """Two shards go on from one network; a row of the table that one of them holds is that one's, others are the mean."""
     texts = [(k, k % 2, f"word{k % 3} {'left' if k < 40 else 'right'} both") for k in range(80)]
