@@ -460,17 +460,20 @@ def _linked_groups(
 def components(links: DataFrame, tables: Tables) -> DataFrame:
     """own and root (the smallest class reachable) of every linked class, by alternating stars.
 
-    A step replaces links by links to the smallest neighbour; it ends when links are stars already.
+    A step replaces links by links to the smallest neighbour; it ends when links are stars already. Links go from ``a`` to a smaller
+    ``b`` throughout, so each half of a step reads them twice only: plans of more scans cost the driver more than the links do.
     """
     smaller, larger = F.least("a", "b"), F.greatest("a", "b")
 
-    def star(edges: DataFrame, large: bool) -> DataFrame:
-        both = edges.select("a", "b").union(edges.select("b", "a"))
-        mine = both if large else both.filter("b <= a")
-        least = mine.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        moved = both.join(least, "a").filter("b > a" if large else "b <= a").select(F.col("b").alias("x"), "m")
-        own = least.select(F.col("a").alias("x"), "m") if not large else least.limit(0).select(F.col("a").alias("x"), "m")
-        return moved.union(own).filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
+    def large_star(edges: DataFrame) -> DataFrame:
+        ends = F.explode(F.array(*(F.struct(F.col(x).alias("b"), F.least("a", "b").alias("m")) for x in ("a", "b")))).alias("end")
+        least = edges.select(ends).groupBy("end.b").agg(F.min("end.m").alias("m"))
+        return edges.join(least, "b").select("a", F.col("m").alias("b")).distinct()
+
+    def small_star(edges: DataFrame) -> DataFrame:
+        least = edges.groupBy("a").agg(F.min("b").alias("m"))
+        moved = edges.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        return moved.filter("a <> b").distinct()
 
     def state(edges: DataFrame):
         return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).collect()[0])
@@ -478,7 +481,7 @@ def components(links: DataFrame, tables: Tables) -> DataFrame:
     edges = tables.keep(links.select(larger.alias("a"), smaller.alias("b")).filter("a <> b").distinct())
     now = state(edges)
     while True:
-        before, edges = edges, tables.keep(star(star(edges, True), False))
+        before, edges = edges, tables.keep(small_star(large_star(edges)))
         tables.drop(before)
         then, now = now, state(edges)
         if then == now:

@@ -139,6 +139,27 @@ def test_components_match_brute_force(spark, docs, prose, monkeypatch, common, b
     assert sorted(map(repr, found)) == sorted(map(repr, brute_components(rows)))
 
 
+def test_steps_of_components_read_links_a_few_times_only(spark, monkeypatch):
+    """Paths, stars and rings become stars of their smallest member; no step has a plan of many scans, which would fill the driver."""
+    random, plans, keep = np.random.default_rng(3), [], jaccard.Tables.keep
+
+    def kept(tables, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(tables, df)
+
+    monkeypatch.setattr(jaccard.Tables, "keep", kept)
+    name = (random.permutation(200) - 100).tolist()
+    path, star, ring = [(i, i + 1) for i in range(60)], [(70, i) for i in range(71, 100)], [(100 + i, 100 + (i + 1) % 40) for i in range(40)]
+    ends = [(name[a], name[b]) for a, b in path + star + ring + [(150, 150), (160, 161), (161, 160)]]
+    found = jaccard.components(spark.createDataFrame(ends, "a bigint, b bigint"), jaccard.Tables(spark)).collect()
+    expected = []
+    for group in (range(61), range(70, 100), range(100, 140), (160, 161)):
+        least, *others = sorted(name[i] for i in group)
+        expected += [(x, least) for x in others]
+    assert sorted((r.own, r.root) for r in found) == sorted(expected)
+    assert len(plans) > 2 and max(plan.count("FileScan") for plan in plans[1:]) <= 4
+
+
 def test_components_of_an_empty_table(spark, docs):
     assert jaccard.jaccard_components(spark, docs([])).collect() == []
 
