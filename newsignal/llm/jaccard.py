@@ -37,9 +37,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsignal.llm.batches import small_batches
+from newsignal.llm.batches import lean, small_batches
 from newsignal.llm.hashing import LOWER, TextWords, in_chunks, mix
-from newsignal.session import delete, shared_dir
+from newsignal.session import delete, shared_dir, tidy
 
 SHARE = 90
 WORDS = 3
@@ -146,7 +146,7 @@ def _map_sets(docs: DataFrame, schema: str, row: Callable, words: int, columns:
                     yield pa.RecordBatch.from_arrays(
                         [*kept, *(pa.array(list(v), t) for v, t in zip(zip(*made), types))], names)
 
-    return docs.select(*columns, "text").mapInArrow(run, kinds + schema)
+    return docs.select(*columns, "text").mapInArrow(lean(run), kinds + schema)
 
 
 _DESCRIBED, _SETS = "own bigint, n bigint, cells binary, prefix array<bigint>, stars array<bigint>", "own bigint, items binary"
@@ -186,7 +186,7 @@ def rarity(docs: DataFrame, words: int) -> np.ndarray:
         levels = [np.minimum(np.rint(np.log2(1 + total) * STEPS), 255).astype(np.uint8).tobytes() for total in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["part", "levels"])
 
-    parts = docs.select("text").mapInArrow(count, "part int, counts binary").repartition("part").mapInArrow(add, "part int, levels binary")
+    parts = docs.select("text").mapInArrow(lean(count), "part int, counts binary").repartition("part").mapInArrow(lean(add), "part int, levels binary")
     levels = np.zeros((PLACES // PART, PART), np.uint8)
     for part, found in parts.collect():  # PLACES / PART rows
         levels[part] = np.frombuffer(found, np.uint8)
@@ -434,7 +434,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, tables: Tables, words: int, sha
     ends = pairs.select(F.col("a").alias("own")).union(pairs.select("b"))
     sets = tables.keep(with_sets(docs, Bitmap(ends, "own"), words))
     of = lambda end: sets.select(F.col("own").alias(end), F.col("items").alias(f"items_{end}"))
-    links = tables.keep(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(linked, "a bigint, b bigint"))
+    links = tables.keep(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(lean(linked), "a bigint, b bigint"))
     tables.drop(sets)
     return links
 
@@ -452,7 +452,7 @@ def _linked_groups(
     sets = with_sets(docs, Bitmap(members, "own"), words)
     key = ["group", "p", "q"]
     rows = placed.select("own", "root", "group", "pair.*").join(sets, "own").repartition(*key).sortWithinPartitions(*key, "own")
-    links = tables.keep(rows.mapInArrow(partial(_linked, share=share), "a bigint, b bigint"))
+    links = tables.keep(rows.mapInArrow(lean(partial(_linked, share=share)), "a bigint, b bigint"))
     tables.drop(inner, members)
     return links
 
@@ -508,7 +508,7 @@ def _star_pairs(classes: DataFrame, share: int) -> DataFrame:
             good = (100 + share) * np.abs(cells[0] - cells[1]).sum(axis=1) <= (100 - share) * sizes
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(possible, "a bigint, b bigint")
+    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(lean(possible), "a bigint, b bigint")
 
 
 def _block() -> Column:
@@ -533,7 +533,7 @@ def _window_edges(classes: DataFrame, roots: DataFrame, tables: Tables, share: i
     details = known.select("own", "root", "n", "cells", *heads)
     key = ["shingle", "p", "q"]
     rows = placed.select("own", "shingle", "pair.*").join(details, "own").repartition(*key).sortWithinPartitions(*key, "own")
-    edges = tables.keep(rows.mapInArrow(partial(_join_regions, share=share), "a bigint, b bigint").distinct())
+    edges = tables.keep(rows.mapInArrow(lean(partial(_join_regions, share=share)), "a bigint, b bigint").distinct())
     tables.drop(placed)
     return edges
 
@@ -544,12 +544,14 @@ class Tables:
     def __init__(self, spark: SparkSession):
         self.spark, self.folder = spark, shared_dir(spark, "jaccard")
         self.paths: dict[int, tuple[DataFrame, str]] = {}
+        tidy(spark)
 
     def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{self.folder}/{len(self.paths)}-{uuid.uuid4().hex}"
+        path = f"{self.folder}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(kept)] = kept, path
+        tidy(self.spark)
         return kept
 
     def renamed(self, kept: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -559,7 +561,9 @@ class Tables:
 
     def drop(self, *kept: DataFrame) -> None:
         for df in kept:
-            delete(self.spark, self.paths[id(df)][1])
+            gone = self.paths[id(df)][1]
+            delete(self.spark, gone)
+            self.paths = {key: (table, path) for key, (table, path) in self.paths.items() if path != gone}  # nor are their plans held
 
 
 def smallest_of_components(spark: SparkSession, docs: DataFrame, columns: tuple[str, ...], order: Column,

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsignal.llm.batches import small_batches
+from newsignal.llm.batches import lean, small_batches
 
 LONGEST = 3
 CELL_BITS = 14
@@ -124,7 +124,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([
             pa.array([*cells.tolist(), -1], pa.int32()), pa.array([*found[cells].tolist(), rows], pa.int64())], ["cell", "docs"])
 
-    counted = texts.select("text").mapInArrow(count, "cell int, docs bigint").groupBy("cell").agg(F.sum("docs").alias("docs"))
+    counted = texts.select("text").mapInArrow(lean(count), "cell int, docs bigint").groupBy("cell").agg(F.sum("docs").alias("docs"))
     frequencies, rows = np.zeros(CELLS, np.int64), 0
     for cell, docs in counted.collect():  # CELLS + 1 rows at most
         if cell < 0:
@@ -171,7 +171,7 @@ def sample_features(rows: DataFrame, sample: int = SAMPLE) -> list[tuple[str, np
 
     picked = rows.join(chosen, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("row"))
     picked = picked.select(F.xxhash64("doc_id").alias("key"), "row.*")
-    found = picked.mapInArrow(features, "key bigint, lang string, cells binary, counts binary").collect()
+    found = picked.mapInArrow(lean(features), "key bigint, lang string, cells binary, counts binary").collect()
     found.sort(key=lambda r: (r.key, r.lang, bytes(r.cells), bytes(r.counts)))
     return [(r.lang, np.frombuffer(r.cells, "<u2"), np.frombuffer(r.counts, "<u4")) for r in found]
 
@@ -221,7 +221,7 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     source = docs.select(*keep, *(["text"] if "text" not in keep else []))
-    return source.mapInArrow(languages, f"{kinds}, `{into[0]}` string, `{into[1]}` double")
+    return source.mapInArrow(lean(languages), f"{kinds}, `{into[0]}` string, `{into[1]}` double")
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from tokenizers import Tokenizer
 
-from newsignal.llm.batches import small_batches
+from newsignal.llm.batches import lean, small_batches
 from newsignal.session import durable
 
 WINDOW = 4096
@@ -189,7 +189,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
                     [part.column("doc_id"), pa.array(counts, pa.int64()), lists], ["doc_id", "doc_tokens", "sums"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, doc_tokens bigint, sums array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(lean(encode), f"doc_id {kind}, doc_tokens bigint, sums array<bigint>")
 
 
 def combinations(units: int = UNITS, depth: int = DEPTH) -> np.ndarray:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsignal.functions.bits import bit_table, may_hold
-from newsignal.llm.batches import small_batches
+from newsignal.llm.batches import lean, small_batches
 from newsignal.llm.hashing import PUNCTUATION, TextWords, in_chunks, span_hashes
 from newsignal.llm.langid import fold, lowest
 from newsignal.session import scratch
@@ -272,8 +272,8 @@ def _averaged(model: Model, past: dict, rows: DataFrame, shards: int | None = No
                 moved = np.flatnonzero(total.any(axis=1)).astype(np.int32)
                 yield made(block, slots=moved.tobytes(), steps=(total[moved] / times[block][moved, None]).astype(np.float32).tobytes())
 
-    learned = (rows.repartition(shards, "key") if shards else rows).select("key", "toxic", "words").mapInArrow(learn, schema)
-    means = learned.repartition("block").mapInArrow(add, schema).toArrow()
+    learned = (rows.repartition(shards, "key") if shards else rows).select("key", "toxic", "words").mapInArrow(lean(learn), schema)
+    means = learned.repartition("block").mapInArrow(lean(add), schema).toArrow()
     for block, slots, steps in zip(*(means.column(c) for c in ("block", "slots", "steps"))):
         if block.as_py() < 0:
             _set_dense(model, past, np.frombuffer(steps.as_py()).copy())
@@ -351,8 +351,8 @@ def _numbered(texts: DataFrame, together: bool = False) -> DataFrame:
 
     picked = texts.select(F.xxhash64("doc_id").alias("key"), F.col("toxic").cast("int"), F.col("lang").cast("string"), "text")
     if together:
-        return picked.mapInArrow(listed, "aside boolean, key array<bigint>, toxic array<int>, lang array<string>, words array<binary>")
-    return picked.mapInArrow(numbered, "key bigint, toxic int, lang string, words binary")
+        return picked.mapInArrow(lean(listed), "aside boolean, key array<bigint>, toxic array<int>, lang array<string>, words array<binary>")
+    return picked.mapInArrow(lean(numbered), "key bigint, toxic int, lang string, words binary")
 
 
 def _sharded(docs: DataFrame, marks: DataFrame, shards: int) -> DataFrame:
@@ -396,7 +396,7 @@ def _tallies(rows: DataFrame, languages: list[str]) -> tuple[np.ndarray, np.ndar
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(at), kind), pa.int32()), pa.array(at, pa.int32()), pa.array(counts[at])], ["kind", "at", "n"])
 
-    counted = rows.mapInArrow(tally, "kind int, at int, n bigint").groupBy("kind", "at").agg(F.sum("n").alias("n")).toArrow()
+    counted = rows.mapInArrow(lean(tally), "kind int, at int, n bigint").groupBy("kind", "at").agg(F.sum("n").alias("n")).toArrow()
     kind, at, n = (counted[c].to_numpy() for c in ("kind", "at", "n"))
     held, cells = np.zeros(1 << ROW_BITS, np.int64), np.zeros((GUESS_CELLS, max(1, len(languages))), np.int64)
     held[at[kind < 0]] = n[kind < 0]
@@ -416,7 +416,7 @@ def _thresholds(rows: DataFrame, model: Model) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(model.guesses(words), pa.int32()), pa.array(place, pa.int32()), pa.array([toxic], pa.int32())], ["guess", "place", "toxic"])
 
-    cells = rows.select("toxic", "words").mapInArrow(weighed, "guess int, place int, toxic int").groupBy("guess", "place").agg(
+    cells = rows.select("toxic", "words").mapInArrow(lean(weighed), "guess int, place int, toxic int").groupBy("guess", "place").agg(
         F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("rows")).orderBy("guess", "place").toArrow()
     guess, place, toxic, n = (cells[c].to_numpy() for c in ("guess", "place", "toxic", "rows"))
     places, where = np.unique(place, return_inverse=True)
@@ -472,7 +472,7 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     source = docs.select(*keep, *(["text"] if "text" not in keep else []))
-    return source.mapInArrow(scores, f"{kinds}, `{into}` double")
+    return source.mapInArrow(lean(scores), f"{kinds}, `{into}` double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> DataFrame:

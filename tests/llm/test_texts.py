@@ -1,11 +1,15 @@
 import copy
+import os
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
 import pytest
+from newsignal import session
 from newsignal.llm import jaccard, langid, toxicity
+from newsignal.llm.batches import lean
 from newsignal.llm.hashing import TextWords, in_chunks
 from pyspark.sql import functions as F
 
@@ -160,6 +164,36 @@ def test_steps_of_components_read_links_a_few_times_only(spark, monkeypatch):
     assert len(plans) > 2 and max(plan.count("FileScan") for plan in plans[1:]) <= 4
 
 
+def test_garbage_of_the_driver_is_collected_between_steps(spark, monkeypatch):
+    """Without, its heap grows to the limit, however little of it is in use."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    collected = lambda: next(b.getCollectionCount() for b in beans if b.getName() == "G1 Old Generation")
+    links = [(a, a + 1) for a in range(12)]
+    counts = []
+    for share in (1.0, 0.0):
+        monkeypatch.setattr(session, "HEAP_SHARE", share)
+        before, tables = collected(), jaccard.Tables(spark)
+        found = jaccard.components(spark.createDataFrame(links, "a bigint, b bigint"), tables).collect()
+        assert sorted(map(tuple, found)) == [(a, 0) for a in range(1, 13)]
+        assert len({path for _, path in tables.paths.values()}) == 1  # plans of tables that are gone are not held
+        counts.append(collected() - before)
+    assert counts[1] >= counts[0] + 4  # once at least for each step
+
+
+def test_workers_give_back_what_a_task_has_freed():
+    def resident():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+
+    def hoarding(batches):
+        taken = [np.ones(4_000) for _ in range(4_000)]  # 128 MB in pieces that the C library keeps at hand
+        held.append(taken.pop())
+        yield from batches
+
+    held, first = [], resident()
+    assert list(lean(hoarding)([1, 2])) == [1, 2]
+    assert resident() < first + 40
+
+
 def test_components_of_an_empty_table(spark, docs):
     assert jaccard.jaccard_components(spark, docs([])).collect() == []
 
